@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import exact_dedup, line_dedup, mixing, pii, quality_rules
+from plinth.llm import exact_dedup, language_id, line_dedup, mixing, packing, pii, quality_classifier, quality_rules
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,14 +28,37 @@ def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.clean_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars", F.sha2("cleaned_text", 256).alias("cleaned_sha256"))
 
 
+def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = quality_classifier.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = language_id.identify_language(docs.select("doc_id", "text"), language_id.fit_languages(docs))
+    return out.select("doc_id", quality_classifier.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_feistel, op2_source_mixing, op4_line_spread, op6_line_first_rules, op10_content_sort)}
+QUERIES = {f.__name__: f for f in (op1_pii_feistel, op2_source_mixing, op4_line_spread, op5_bounded_packing, op6_line_first_rules, op7_subword_quality, op8_language_hierarchy, op10_content_sort)}
 ORACLES: dict[str, str] = {}
