@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import exact_dedup, language_id, line_dedup, mixing, packing, pii, quality_classifier, quality_rules
+from plinth.llm import exact_dedup, language_id, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "quota_blocks")
 
 
+def op3_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_spread_lines(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
@@ -60,5 +65,5 @@ def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_feistel, op2_source_mixing, op4_line_spread, op5_bounded_packing, op6_line_first_rules, op7_subword_quality, op8_language_hierarchy, op10_content_sort)}
+QUERIES = {f.__name__: f for f in (op1_pii_feistel, op2_source_mixing, op3_repeated_windows, op4_line_spread, op5_bounded_packing, op6_line_first_rules, op7_subword_quality, op8_language_hierarchy, op10_content_sort)}
 ORACLES: dict[str, str] = {}
