@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import exact_dedup, language_id, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, substring_dedup
+from plinth.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +61,13 @@ def op8_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality_classifier.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op9_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_classes(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_feistel, op2_source_mixing, op3_repeated_windows, op4_line_spread, op5_bounded_packing, op6_line_first_rules, op7_subword_quality, op8_language_hierarchy, op10_content_sort)}
+QUERIES = {f.__name__: f for f in (op1_pii_feistel, op2_source_mixing, op3_repeated_windows, op4_line_spread, op5_bounded_packing, op6_line_first_rules, op7_subword_quality, op8_language_hierarchy, op9_adaptive_prefix_join, op10_content_sort)}
 ORACLES: dict[str, str] = {}
