@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.llm.common import count_words, settle
+from plinth.llm.common import count_words, settle, words
 
 #: Tokens to a shard, and the most shards a source is cut into.
 SHARD_TOKENS, MOST_SHARDS = 1 << 20, 8192
@@ -87,16 +87,19 @@ def mix_sources(
     are separate rows; an empty table gives an empty result. Order inside a shard: md5 of seed and id, then size.
     """
     spread = F.conv(F.substring("_pl_mix", 1, 8), 16, 10).cast("long")
-    narrow = docs.select(
-        F.col(id_col).alias("_pl_id"), F.col(source_col).alias("_pl_src"), count_words(F.col(text_col)).alias("_pl_size"), F.struct(F.lit(0).alias("_pl_none"), *(F.col(c) for c in carry)).alias("_pl_carry"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).alias("_pl_mix"),
-    )
-    # The size is what costs; it is computed once, unless texts are carried along.
-    narrow = settle(narrow, "mix-sizes") if not carry else narrow
+    def sized(columns: tuple[str, ...]) -> DataFrame:
+        return docs.select(
+            F.col(id_col).alias("_pl_id"), F.col(source_col).alias("_pl_src"), count_words(F.col(text_col)).alias("_pl_size"), F.struct(F.lit(0).alias("_pl_none"), *(F.col(c) for c in columns)).alias("_pl_carry"),
+            F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).alias("_pl_mix"),
+        )
+
+    # Counting words is what costs: it is done once, and once more only where texts are carried along.
+    narrow = settle(sized(()), "mix-sizes")
     total = narrow.agg(F.sum("_pl_size")).first()[0] or 0
     shards = shards or min(MOST_SHARDS, max(1, -(-total // SHARD_TOKENS)))
-    cut = narrow.withColumn("_pl_shard", (spread + F.col("_pl_size")) % shards)
-    cells = settle(cut.groupBy("_pl_src", "_pl_shard").agg(F.sum("_pl_size").alias("cell")), "mix-cells")
+    shard_of = lambda df: df.withColumn("_pl_shard", (spread + F.col("_pl_size")) % shards)
+    cut = shard_of(sized(carry) if carry else narrow)
+    cells = settle(shard_of(narrow).groupBy("_pl_src", "_pl_shard").agg(F.sum("_pl_size").alias("cell")), "mix-cells")
     sizes = cells.groupBy("_pl_src").agg(F.sum("cell").alias("source_size"))
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("_pl_src").asc_nulls_last())) - 1)
     shares = capped_shares(ranked.withColumn("weight", cycled_weights(F.col("rank"), weights)), most_epochs)
@@ -117,3 +120,18 @@ def mix_sources(
         F.col("quota").alias("quota_blocks"), (rounds * F.col("_pl_size") + partial).cast("long").alias("taken"),
         *(F.col("_pl_carry")[c].alias(c) for c in carry),
     )
+
+
+def mixed_documents(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` as the mix has them: a row for each whole time a document is taken, and one with its first words.
+
+    The words of a part are joined by one space. Documents that are not taken are absent; for the cases see
+    ``mix_sources``.
+    """
+    wrapped = docs.select(F.struct(*docs.columns).alias("_pl_row"), *{options.get("id_col", "doc_id"), options.get("source_col", "source")}, F.col(text_col).alias("_pl_body"))
+    taken = mix_sources(wrapped, text_col="_pl_body", carry=("_pl_row",), **options).filter("taken > 0")
+    times = F.call_function("div", F.col("taken"), F.col("size"))
+    rest = (F.col("taken") % F.col("size")).cast("int")
+    rows = taken.withColumn("_pl_words", F.explode(F.concat(F.array_repeat(F.lit(None).cast("int"), times.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))))
+    text = F.when(F.col("_pl_words").isNull(), F.col("_pl_row")[text_col]).otherwise(F.array_join(F.slice(words(F.col("_pl_row")[text_col]), 1, F.coalesce("_pl_words", F.lit(0))), " "))
+    return rows.select(*(text.alias(c) if c == text_col else F.col("_pl_row")[c].alias(c) for c in docs.columns))

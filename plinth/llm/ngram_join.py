@@ -359,3 +359,16 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     full = labelled.join(names, "label").select("doc_id", "n", "key", "component_id")
     bare = own.filter("n = 0").select("doc_id", "n", "key", F.col("doc_id").alias("component_id"))
     return full.unionByName(bare).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("key").alias("set_key"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with all columns; repeated rows stay once.
+
+    Rows with a null id cannot be told apart by it, so they all stay; texts without a word stay. An empty table
+    gives an empty result.
+    """
+    found = similar_classes(docs.select(F.col(id_col), F.col(text_col)), id_col=id_col, text_col=text_col, size=size, percent=percent)
+    stay = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_pl_id")).distinct()
+    named = docs.filter(F.col(id_col).isNotNull())
+    kept = named.join(stay, F.col(id_col) == F.col("_pl_id"), "left_semi").withColumn("_pl_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_pl_text"]).drop("_pl_text")
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
