@@ -1 +1 @@
-"""Part of the engine."""
+"""Column functions and storage of intermediate results."""

@@ -1 +1 @@
-"""Part of the engine."""
+"""Operators over graphs, taxonomies and reports."""

@@ -1 +1 @@
-"""Part of the engine."""
+"""Vocabulary, and the graph view over the benchmark tables."""

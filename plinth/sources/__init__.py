@@ -1 +1 @@
-"""Part of the engine."""
+"""Readers, writers and the graph as relations."""

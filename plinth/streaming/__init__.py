@@ -1 +1 @@
-"""Part of the engine."""
+"""Structured Streaming intake."""
