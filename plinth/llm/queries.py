@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, substring_dedup
+from plinth.llm.oracles import ORACLES  # noqa: F401  registered with the queries
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +71,3 @@ def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii_feistel, op2_source_mixing, op3_repeated_windows, op4_line_spread, op5_bounded_packing, op6_line_first_rules, op7_subword_quality, op8_language_hierarchy, op9_adaptive_prefix_join, op10_content_sort)}
-ORACLES: dict[str, str] = {}
