@@ -3,12 +3,15 @@
 A document is the set of its distinct 5-word shingles; equal sets are one class and are handled once. Tokens are ordered
 from rare to frequent by a bounded table made from counts over all texts. Sets of Jaccard similarity t or more share at
 least l tokens of their prefixes when a prefix is the first n - ceil(t n) + l tokens; each set picks its l where the
-longer index costs less than the candidates it is expected to spare, and a pair has to share the smaller l of the two.
+longer index costs less than the candidates it is expected to spare. A pair has to share the smaller l of the two, and
+so many that what lies behind the prefixes can still make up the overlap which its two sizes ask for.
 
 The index is dealt by token in packed blocks. Tokens of few sets give their pairs at once. Tokens of many sets first give
-one link to a leader each, and once links are verified and joined to components, only pairs of sets that are still
-in different components, so groups of near copies never expand into all their pairs and no link between components is
-lost. Pairs are verified exactly on the whole sets. Nothing but bounded tables is collected or broadcast.
+one link to a leader each, the member that shares most with the others. Once links are verified and joined to
+components, only sets that still meet others of a different component are compared again: those outside a group's
+largest component in blocks against all, so groups of near copies never expand into all their pairs and no link
+between components is lost. Pairs are verified exactly on the whole sets. Nothing but bounded tables is collected or
+broadcast.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ from plinth.llm.components import components
 SLOT_BITS, SLOT_PARTS, FREQUENT = 22, 16, 12
 #: Tokens of up to so many sets give all pairs at once; blocks are kept to about so many entries.
 SMALL, BLOCK_ENTRIES = 8, 2_000_000
+#: Tokens that a worker holds before it counts them or deals them out; they bound its memory.
+HELD_TO_COUNT, HELD_TO_DEAL = 4_000_000, 4_000_000
+#: Sets in one block of the late comparison.
+LATE_SETS = 8192
 #: Index entries that one candidate is worth, and the part of a set that its prefix may at most be lengthened by.
 CANDIDATE_COST, MOST_LONGER = 4.0, 8
 #: Tokens in sets of this frequency class or above never meet in one block: their entries are spread over the blocks.
@@ -76,6 +83,20 @@ def prefix_plan(frequency: np.ndarray, percent: int) -> tuple[int, int]:
     return base + best, best
 
 
+def needed_matches(n_a, n_b, l_a, l_b, percent: int, least, greatest, up):
+    """Prefix tokens that a linked pair shares at least, for columns or arrays.
+
+    Common tokens are in both prefixes, or behind the one that ends first, which leaves ceil(t n) - l tokens there.
+    """
+    behind = greatest(up(percent * n_a, 100) - l_a, up(percent * n_b, 100) - l_b)
+    return greatest(least(l_a, l_b), up(percent * (n_a + n_b), 100 + percent) - behind)
+
+
+def _enough(percent: int):
+    up = lambda x, d: F.call_function("div", x + (d - 1), F.lit(d))
+    return needed_matches(*(F.col(c) for c in ("n_a", "n_b", "l_a", "l_b")), percent, F.least, F.greatest, up)
+
+
 _STATS_SQL = "kind int, doc_id long, n long, key long, part int, tokens binary, counts binary"
 _STATS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
 _BLOCK_SQL = "block int, spread boolean, tokens binary, owners binary, sets binary"
@@ -111,7 +132,7 @@ def _stats(size: int):
                     held.append(tokens)
                     n_held += len(tokens)
                     seen.add(key)
-                if n_held > 4_000_000:
+                if n_held > HELD_TO_COUNT:
                     yield from flush()
                     held, n_held, seen = [], 0, set()
             none = lambda kind: pa.nulls(len(ns), kind)
@@ -153,8 +174,10 @@ def _index(size: int, percent: int, blocks: int, classes):
             if not sets:
                 return
             token, owner, table = np.concatenate(tokens), np.concatenate(owners), np.array(sets, _SET)
+            tokens.clear()
+            owners.clear()
             spread = classes.value[(token >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] >= SPREAD_CLASS
-            block = ((token >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+            block = ((token >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
             turn += 1
             block[spread] = blocks + (owner[spread] + turn) % blocks
             order = np.argsort(block, kind="stable")
@@ -174,10 +197,10 @@ def _index(size: int, percent: int, blocks: int, classes):
                 order = np.argsort((rank.astype(np.uint64) << np.uint64(58)) | (found >> np.uint64(6)))
                 length, l = prefix_plan(np.exp2(rank[order].astype(np.float64)), percent)
                 tokens.append(found[order[:length]])
-                owners.append(np.full(length, len(sets), np.int64))
+                owners.append(np.full(length, len(sets), np.int32))
                 sets.append((key, len(found), l))
                 n_held += length
-                if n_held > 4_000_000:
+                if n_held > HELD_TO_DEAL:
                     yield from flush()
                     seen, sets, tokens, owners, n_held = set(), [], [], [], 0
         yield from flush()
@@ -303,6 +326,52 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, p
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _late_pairs(open_entries: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different labels that share enough of the open tokens (token, key, label, first).
+
+    Sets that meet over open tokens, even at second hand, form a group. Of a group the sets outside its largest
+    label are compared in blocks with each other and with blocks of the largest one; two sets of that label never are.
+    """
+    groups = components(open_entries.select(F.col("first").alias("a"), F.col("key").alias("b")).distinct())
+    sets = open_entries.groupBy("key", "label").agg(F.collect_list("token").alias("tokens")).join(groups.select(F.col("node").alias("key"), F.col("label").alias("g")), "key").join(info.select("key", "n", "l"), "key")
+    sets = settle(sets, "open-sets")
+    sizes = sets.groupBy("g", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"))
+    sizes = sizes.select("g", F.col("top.label").alias("main"), F.ceil(F.col("top.m") / LATE_SETS).alias("mains"), F.ceil((F.col("all") - F.col("top.m")) / LATE_SETS).alias("rests"))
+    dealt = sets.join(sizes, "g").withColumn("is_main", F.col("label") == F.col("main"))
+    block = F.pmod(F.xxhash64("key"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    cell = lambda i, kind, j: F.struct(i.alias("i"), F.lit(kind).alias("kind"), j.alias("j"))
+    own = F.col("block")
+    against_main = F.transform(upto(F.col("mains")), lambda j: cell(own, "main", j))
+    among_rest = F.transform(upto(F.col("rests")), lambda j: cell(F.least(own, j), "rest", F.greatest(own, j)))
+    cells = F.when(F.col("is_main"), F.transform(upto(F.col("rests")), lambda i: cell(i, "main", own))).otherwise(F.concat(against_main, among_rest))
+    dealt = dealt.withColumn("block", block).select("g", F.explode(cells).alias("cell"), "key", "label", "n", "l", "tokens", "is_main")
+
+    def compare(table: pa.Table) -> pa.Table:
+        keys, labels, n, l = (table[c].to_numpy() for c in ("key", "label", "n", "l"))
+        main = table["is_main"].to_numpy()
+        tokens = table["tokens"].combine_chunks()
+        flat, cuts = tokens.flatten().to_numpy(), np.concatenate([[0], np.cumsum(tokens.value_lengths().to_numpy())])
+        order = np.argsort(flat, kind="stable")
+        ordered, owner = flat[order], np.repeat(np.arange(len(keys)), np.diff(cuts))[order]
+        firsts, seconds = [], []
+        for x in np.flatnonzero(~main):
+            own = flat[cuts[x] : cuts[x + 1]]
+            lows, highs = np.searchsorted(ordered, own, "left"), np.searchsorted(ordered, own, "right")
+            met = np.concatenate([owner[i:j] for i, j in zip(lows, highs, strict=True)])
+            counts = np.bincount(met, minlength=len(keys))
+            need = needed_matches(n, n[x], l, l[x], percent, np.minimum, np.maximum, lambda v, d: -(-v // d))
+            hit = (counts >= need) & (labels != labels[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+            other = keys[np.flatnonzero(hit)]
+            firsts.append(np.minimum(other, keys[x]))
+            seconds.append(np.maximum(other, keys[x]))
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        found = np.unique(np.stack([join(firsts), join(seconds)], axis=1), axis=0)
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+    return dealt.groupBy("g", "cell").applyInArrow(compare, "a long, b long").distinct()
+
+
 def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """Per document: id, n_shingles, set_key and component_id, the smallest id reachable over links.
 
@@ -330,11 +399,14 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     info = settle(info.join(shared, "key", "left").select("key", "n", "l", F.coalesce("g", F.lit(0)).alias("g")), "prefix-sets")
     side = lambda c: info.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("l").alias(f"l_{c}"), F.col("g").alias(f"g_{c}"))
     fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    enough = F.least("l_a", "l_b")
+    enough = _enough(percent)
     pairs = found.filter(F.col("kind") == PAIR).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("x").alias("c"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.col("c") + F.least("g_a", "g_b") >= enough).select("a", "b")
 
-    leaders = entries.groupBy("token").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    # The leader of a token is its set that shares most: in a group of near copies the one next to their common origin.
+    met = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    weight = entries.join(met, "token").groupBy("key").agg(F.sum("m").alias("w"))
+    leaders = entries.join(weight, "key").groupBy("token").agg(F.max_by("key", F.struct("w", "key")).alias("a"))
     stars = entries.withColumnRenamed("key", "b").join(leaders, "token").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
     stars = stars.join(side("a"), "a").join(side("b"), "b").filter(fits & (F.col("c") >= enough)).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
     first = settle(pairs.unionByName(stars.select("a", "b")).distinct(), "candidates")
@@ -343,15 +415,13 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # What remains: pairs in different components that meet only in tokens of many sets.
     placed = entries.join(joined.withColumnRenamed("node", "key"), "key", "left").select("token", "key", F.coalesce("label", "key").alias("label"))
-    split = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-    open_entries = settle(placed.join(split, "token", "left_semi").join(info.select("key", "n", "l"), "key"), "open-entries")
+    split = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("first")).filter("low <> high").select("token", "first")
+    open_entries = settle(placed.join(split, "token"), "open-entries")
     if not open_entries.isEmpty():
-        x, y = (open_entries.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "label", "n", "l"))) for s in "ab")
-        rest = x.join(y, "token").filter((F.col("label_a") != F.col("label_b")) & (F.col("key_a") < F.col("key_b")) & fits)
-        rest = rest.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(enough).alias("need"))
-        second = settle(rest.filter("c >= need").select("a", "b").join(first, ["a", "b"], "left_anti"), "late-candidates")
-        if not second.isEmpty():
-            more = settle(verified(base, classes, second, size, percent), "late-verified")
+        late = _late_pairs(open_entries, info, percent).join(first, ["a", "b"], "left_anti")
+        late = settle(late, "late-candidates")
+        if not late.isEmpty():
+            more = settle(verified(base, classes, late, size, percent), "late-verified")
             joined = components(links.unionByName(more))
 
     labelled = filled.join(joined.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", "key", F.coalesce("label", "key").alias("label"))
