@@ -30,9 +30,9 @@ from plinth.llm.components import components
 #: log2 of the slots of the frequency table; parts of it that are merged apart; least total that counts as frequent.
 SLOT_BITS, SLOT_PARTS, FREQUENT = 22, 16, 12
 #: Tokens of up to so many sets give all pairs at once; blocks are kept to about so many entries.
-SMALL, BLOCK_ENTRIES = 8, 2_000_000
+SMALL, BLOCK_ENTRIES = 8, 600_000
 #: Tokens that a worker holds before it counts them or deals them out; they bound its memory.
-HELD_TO_COUNT, HELD_TO_DEAL = 4_000_000, 4_000_000
+HELD_TO_COUNT, HELD_TO_DEAL = 3_000_000, 1_200_000
 #: Sets in one block of the late comparison.
 LATE_SETS = 8192
 #: Index entries that one candidate is worth, and the part of a set that its prefix may at most be lengthened by.
