@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.text import cache_key, encode_for_uri
-from plinth.operators import incidents, motifs, risk, taxonomy
+from plinth.operators import incidents, motifs, patterns, risk, taxonomy
 from plinth.operators.closure import Hierarchy, closure
 from plinth.plans import graph_view as gv
 from plinth.plans.vocabulary import CATEGORY_EDGES, ROLE_EDGES, TYPE, Vocabulary
@@ -444,3 +444,64 @@ def relevant_counts(spark, sf_dir):
 def cache_latest(spark, sf_dir):
     events = gv.table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("user_id").alias("key"), F.col("props").alias("value"), "ts")
     return incidents.latest(events)
+
+
+def _steps(spark, sf_dir):
+    g = gv.graph_view(spark, sf_dir)
+    return g, patterns.relations_of(g), g.produce.select("s").distinct()
+
+
+@query(f"""{BASE_SQL} SELECT DISTINCT s FROM contains_edge k JOIN category_closure c ON c.sub = k.o AND c.super = 'SensitiveInformation'""")
+def condition_property_path(spark, sf_dir):
+    g = gv.graph_view(spark, sf_dir)
+    stores = g.contains.select("s").distinct()
+    return patterns.satisfied(patterns.Condition("exists", "x", "containsDataCategory/subDataCategoryOf*", "SensitiveInformation"), patterns.relations_of(g), stores)
+
+
+@query(f"""{BASE_SQL} SELECT DISTINCT s FROM produce_edge WHERE s NOT IN (SELECT u.s FROM use_edge u JOIN plays p ON p.s = u.o JOIN role_closure c ON c.sub = p.o WHERE c.super = 'KnowledgeSource')""")
+def condition_negated(spark, sf_dir):
+    _, relation, steps = _steps(spark, sf_dir)
+    return patterns.satisfied(patterns.Condition("absent", "x", "use/playsRole/subRoleOf*", "KnowledgeSource"), relation, steps)
+
+
+@query(f"""{BASE_SQL} SELECT s FROM (SELECT s, count(DISTINCT o) AS n FROM use_edge GROUP BY s) WHERE n BETWEEN 3 AND 6 AND s IN (SELECT s FROM produce_edge)""")
+def condition_cardinality(spark, sf_dir):
+    _, relation, steps = _steps(spark, sf_dir)
+    return patterns.satisfied(patterns.Condition("count", "x", "use", None, 3, 6), relation, steps)
+
+
+#: A chain of two steps over a retrieved context, the second of which writes for users and is grounded in a store.
+CHAIN = patterns.Pattern(
+    "GroundedChain",
+    {"first": patterns.PatternNode("RetrievalStep"), "context": patterns.PatternNode("RetrievedContext"), "second": patterns.PatternNode("GenerationStep"), "output": patterns.PatternNode("UserFacingOutput")},
+    (("first", "produce", "context"), ("second", "use", "context"), ("second", "produce", "output")),
+    (patterns.Condition("exists", "second", "use/playsRole", "VectorStore"),),
+)
+
+
+@query(f"""{BASE_SQL} SELECT DISTINCT a.s AS first, a.o AS context, u.s AS second, b.o AS output FROM produce_edge a JOIN use_edge u ON u.o = a.o JOIN produce_edge b ON b.s = u.s
+WHERE a.s IN ({_with_role('RetrievalStep')}) AND a.o IN ({_with_role('RetrievedContext')}) AND u.s IN ({_with_role('GenerationStep')}) AND b.o IN ({_with_role('UserFacingOutput')})
+  AND u.s IN (SELECT x.s FROM use_edge x JOIN plays p ON p.s = x.o AND p.o = 'VectorStore')""")
+def pattern_chain(spark, sf_dir):
+    return patterns.matches(gv.graph_view(spark, sf_dir), CHAIN)
+
+
+@query(f"""WITH RECURSIVE {gv.GRAPH_SQL}, inform AS (SELECT DISTINCT p.s AS a, u.s AS b FROM produce_edge p JOIN use_edge u ON u.o = p.o)
+, walk(sub, super) AS (SELECT a, b FROM inform UNION SELECT w.sub, i.b FROM walk w JOIN inform i ON i.a = w.super) SELECT sub AS s, super AS o FROM walk""")
+def flow_reachability(spark, sf_dir):
+    """Steps reached by data flow over any number of hops: the path (produce/^use)+."""
+    return patterns.Path("(produce/^use)+", patterns.relations_of(gv.graph_view(spark, sf_dir))).pairs()
+
+
+@query(f"""WITH RECURSIVE {gv.GRAPH_SQL}, a AS (SELECT DISTINCT s, 'use' AS p, o FROM use_edge), b AS (SELECT DISTINCT s, 'use' AS p, o FROM use_edge WHERE o NOT LIKE 'store:%' UNION SELECT s, 'produce', o FROM produce_edge)
+SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'right', * FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def graph_difference(spark, sf_dir):
+    g = gv.graph_view(spark, sf_dir)
+    use = g.use.select("s", F.lit("use").alias("p"), "o")
+    return patterns.difference(use, use.filter("o not like 'store:%'").unionByName(g.produce.select("s", F.lit("produce").alias("p"), "o")))
+
+
+@query("SELECT coalesce(CAST(n_regionkey AS VARCHAR), 'all') AS region, coalesce(n_name, 'all') AS nation, count(*) AS n_customers FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ROLLUP (n_regionkey, n_name)")
+def group_rollup(spark, sf_dir):
+    nations = gv.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("region"), F.col("n_name").alias("nation"))
+    return gv.table(spark, sf_dir, "customer").select("c_nationkey").join(nations, "c_nationkey").rollup("region", "nation").agg(F.count(F.lit(1)).alias("n_customers")).withColumns({"region": F.coalesce(F.col("region").cast("string"), F.lit("all")), "nation": F.coalesce("nation", F.lit("all"))})
