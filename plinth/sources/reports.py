@@ -51,3 +51,19 @@ def relevant_preview(records: DataFrame, most: int = 20) -> DataFrame:
 
 def counts(records: DataFrame) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("meta.is_relevant")).alias("n_relevant"))
+
+
+def append_cache(answers: DataFrame, path: str, at: str, keep_failures: bool = False) -> None:
+    """Adds new answers to the cache; the newest of a key counts when it is read, so a batch run twice does no harm."""
+    from plinth.operators.incidents import cache_rows
+
+    cache_rows(answers, at, keep_failures).write.mode("append").partitionBy("stage").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache (stage, key, value, ts); a path that does not exist yet is an empty one."""
+    schema = "stage string, key string, value string, ts timestamp"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select("stage", "key", "value", "ts")

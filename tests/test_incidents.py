@@ -132,3 +132,37 @@ def test_stream(spark, tmp_path):
     streaming.run_stream(stream, answering('{"is_relevant": true}'), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     found = {r["meta"]["report_id"]: r["meta"]["is_relevant"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert found == {"r0": True, "r1": False}
+
+
+def test_cache_folder(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert io.read_cache(spark, path).count() == 0
+    answers = incidents.ask(report_rows(spark, 2), "relevance", answering('{"is_relevant": true}', '{"is_relevant": false}'))
+    for at in ("2024-01-01 00:00:00", "2024-01-02 00:00:00"):
+        io.append_cache(answers, path, at)
+    cache = io.read_cache(spark, path)
+    assert cache.count() == 4 and incidents.latest(cache).count() == 2
+    assert all(r["cached"] for r in incidents.ask(report_rows(spark, 2), "relevance", answering("unused"), cache=cache).collect())
+
+
+def test_settings(spark, monkeypatch):
+    from plinth.plans.settings import Settings
+
+    monkeypatch.setenv("PLINTH_MODEL", "m")
+    monkeypatch.setenv("PLINTH_MOST_REPORTS", "all")
+    found = Settings.of(spark)
+    assert found.model == "m" and found.most_reports is None
+    with pytest.raises(ValueError, match="endpoint"):
+        found.client()
+    assert callable(Settings("http://x", "m").client()())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from plinth import cli
+    from tests.graphs import TWO_HOPS
+
+    assert cli.main(["info"]) == 0 and "finding_leakage" in capsys.readouterr().out
+    (tmp_path / "g.ttl").write_text(TWO_HOPS)
+    for command, n in (("match", 19), ("assess", 16)):
+        assert cli.main([command, "--graph", str(tmp_path / "g.ttl"), "--out", str(tmp_path / command)]) == 0
+        assert spark.read.text(str(tmp_path / command)).count() == n
