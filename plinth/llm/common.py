@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: A run of the six ASCII white-space characters; what lies between is a word.
 SPACES = r"[ \t-\r]+"
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -30,7 +31,7 @@ def count_words(text: Column) -> Column:
 
 def solid_chars(text: Column) -> Column:
     """Code points outside white space."""
-    return F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long")
+    return F.length(F.translate(text, WHITE, "")).cast("long")
 
 
 def count_chars(text: Column, chars: str) -> Column:

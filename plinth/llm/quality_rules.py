@@ -8,10 +8,13 @@ repeated window pay for. There is no shuffle, so no key can be hot.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import SPACES, count_chars, let, solid_chars, words
+from plinth.llm.common import WHITE, count_chars, let, solid_chars, words
 
 #: What stands at the end of a complete line, and what separates entries of a menu or table.
 ENDINGS = ".!?…:;\"'”’»)]"
@@ -26,28 +29,33 @@ BOILERPLATE = (
 BOILERPLATE_CHARS = 200
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word breaks a rule; lines without a word never do."""
-    body = F.regexp_replace(line, r"^[ \t-\r]+|[ \t-\r]+$", "")
+def _judged(text: Column) -> Column:
+    """The rules on a line without white space at its ends; what they count is counted once."""
+    spaces, marks = count_chars(text, " \t"), count_chars(text, SEPARATORS + SYMBOLS + "!")
 
-    def judge(text: Column) -> Column:
-        spaces = count_chars(text, " \t")
-        separators, solid = count_chars(text, SEPARATORS), solid_chars(text)
-        navigation = (separators >= 3) & (separators * 4 >= spaces)
-        symbols = (count_chars(text, SYMBOLS) >= 3) & (count_chars(text, SYMBOLS) * 10 >= solid)
-        shouting = (count_chars(text, "!") >= 3) & (count_chars(text, "!") * 3 >= spaces)
-        unfinished = (spaces >= 7) & ~F.lit(ENDINGS).contains(F.right(text, F.lit(1)))
-        lowered = F.lower(text)
-        boilerplate = F.lit(False)
-        for phrase in BOILERPLATE:
-            boilerplate = boilerplate | lowered.contains(phrase)
-        return navigation | symbols | shouting | unfinished | ((F.length(text) <= BOILERPLATE_CHARS) & boilerplate)
+    def marked(c: Column) -> Column:
+        navigation = (c["separators"] >= 3) & (c["separators"] * 4 >= c["spaces"])
+        symbols = (c["symbols"] >= 3) & (c["symbols"] * 10 >= c["solid"])
+        shouting = (c["bangs"] >= 3) & (c["bangs"] * 3 >= c["spaces"])
+        return navigation | symbols | shouting
 
-    return let(body, lambda text: F.when(text == "", False).otherwise(judge(text)))
+    counts = F.struct(spaces.alias("spaces"), count_chars(text, SEPARATORS).alias("separators"), count_chars(text, SYMBOLS).alias("symbols"), count_chars(text, "!").alias("bangs"), solid_chars(text).alias("solid"))
+    unfinished = ~F.lit(ENDINGS).contains(F.right(text, F.lit(1))) & (spaces >= 7)
+    named = F.when(F.length(text) > BOILERPLATE_CHARS, False).otherwise(let(F.lower(text), lambda low: reduce(or_, (low.contains(phrase) for phrase in BOILERPLATE))))
+    # Few lines have three marks at all, so few are counted mark by mark.
+    return F.when(text == "", False).when(unfinished, True).when(marks >= 3, let(counts, marked) | named).otherwise(named)
+
+
+def line_fails(line: Column) -> Column:
+    """Whether a line with a word breaks a rule; lines without a word never do."""
+    return let(F.btrim(line, F.lit(WHITE)), _judged)
 
 
 def repeated_words(tokens: Column, window: int = 8) -> Column:
-    """Words inside windows that occur at least twice in the array, the first occurrence included."""
+    """Words inside windows that occur at least twice in the array, the first occurrence included.
+
+    ``window`` is a power of two: window hashes are made by doubling, from two hashes half as wide.
+    """
 
     def covered(hashes: Column) -> Column:
         by_hash = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
@@ -57,17 +65,20 @@ def repeated_words(tokens: Column, window: int = 8) -> Column:
         step = lambda acc, p: F.struct((acc["n"] + p + window - F.greatest(acc["end"], p)).alias("n"), (p + window).alias("end"))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(F.aggregate(places, start, step, lambda acc: acc["n"]))
 
-    def windows(word_hashes: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(word_hashes) - (window - 1))
-        hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(word_hashes, i, window)))
-        return F.when(F.size(word_hashes) <= window, 0).otherwise(let(hashed, covered))
+    def doubled(hashes: Column, width: int) -> Column:
+        if width == window:
+            return covered(hashes)
+        n = F.size(hashes) - width
+        wider = F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, width + 1, n), lambda a, b: F.xxhash64(a, b))
+        return let(wider, lambda h: doubled(h, 2 * width))
 
-    return let(F.transform(tokens, lambda w: F.xxhash64(w)), windows).cast("long")
+    enough = lambda hashes: F.when(F.size(hashes) <= window, 0).otherwise(doubled(hashes, 1))
+    return let(F.transform(tokens, lambda w: F.xxhash64(w)), enough).cast("long")
 
 
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    with_word = F.filter(F.split(text, "\n"), lambda line: F.regexp_replace(line, SPACES, "") != "")
+    with_word = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(WHITE)) != "")
     return let(with_word, lambda lines: F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
