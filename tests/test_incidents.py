@@ -97,7 +97,7 @@ def test_cache_spares_calls_and_skips_failures(spark):
     cache = incidents.cache_rows(first, "2024-01-01 00:00:00")
     assert cache.count() == 1 and incidents.cache_rows(first, "2024-01-01 00:00:00", keep_failures=True).count() == 2
     again = {r["row_id"]: r for r in incidents.ask(reports, "relevance", answering(RuntimeError("y")), cache=cache).collect()}
-    assert again[0]["cached"] and again[0]["error"] is None and again[1]["error"] == "y"
+    assert again[0]["cached"] and again[0]["failure"] is None and again[1]["failure"] == "y"
 
 
 def test_key_modes():
