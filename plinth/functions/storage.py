@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,9 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset, a folder of our own, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='plinth-shared-')}"
+        own = tempfile.mkdtemp(prefix="plinth-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
