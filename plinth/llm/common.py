@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -48,15 +50,30 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='plinth-shared-')}"
+        own = tempfile.mkdtemp(prefix="plinth-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Folders that ``settle`` has written and nothing has dropped.
+SETTLED: list[str] = []
+
+
+def drop_settled(spark: SparkSession) -> None:
+    """Deletes what ``settle`` has written so far; for when no DataFrame of this subpackage will be read again."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while SETTLED:
+        path = hadoop.Path(SETTLED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    SETTLED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -261,3 +261,14 @@ def test_pseudonyms_leave_no_address(spark, sf):
         if not re.search("[0-9@]", text):
             assert out[i]["text"] == text and out[i]["n_pii"] == 0
     assert hit > 0
+
+
+def test_settled_tables_can_be_dropped(spark):
+    from plinth.llm import common
+
+    df = common.settle(spark.range(3), "test")
+    assert df.count() == 3 and common.SETTLED
+    common.drop_settled(spark)
+    assert not common.SETTLED
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        df.groupBy().count().collect()
