@@ -56,12 +56,7 @@ class Hierarchy:
         self.offsets = np.zeros(len(self.machines))
 
     def fit(self, texts: pa.Array, labels: list[str], epochs: int = 6, seed: int = 3) -> "Hierarchy":
-        bags = []
-        for _, data, offs in wh.chunks(texts):
-            parts = _parts(data, offs)
-            for i in range(len(offs) - 1):
-                own, counts = np.unique(np.concatenate([b[s[i] : max(s[i], e[i])] for b, s, e in parts]), return_counts=True)
-                bags.append((own, (SCALE * counts / max(1, counts.sum())).astype(np.float32)))
+        bags = wh.Bags(texts, _parts)
         rng = np.random.default_rng(seed)
         for m, (family, a, b) in enumerate(self.machines):
             side = [(x if family else family_of(x)) for x in labels]
@@ -69,7 +64,8 @@ class Hierarchy:
             w, offset, steps, total = np.zeros(1 << BITS, np.float32), 0.0, 0, epochs * max(1, len(rows))
             for _ in range(epochs):
                 for i in rng.permutation(len(rows)):
-                    own, x = bags[rows[i]]
+                    own, share = bags[rows[i]]
+                    x = SCALE * share
                     y = 1.0 if side[rows[i]] == a else -1.0
                     pace = 0.5 * (1 - steps / total)
                     steps += 1
@@ -77,6 +73,8 @@ class Hierarchy:
                         w[own] += pace * y * x
                         offset += 0.1 * pace * y
             self.weights[:, m], self.offsets[m] = w, offset
+        del bags
+        wh.returned_memory()
         return self
 
     def margins(self, texts: pa.Array) -> np.ndarray:

@@ -49,17 +49,6 @@ def _features(data: np.ndarray, offs: np.ndarray, shape: Shape) -> list[tuple[np
     return parts
 
 
-def _bags(texts: pa.Array, shape: Shape) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text: its distinct buckets and their shares, which add up to 1 in a text that has any."""
-    out = []
-    for _, data, offs in wh.chunks(texts):
-        parts = _features(data, offs, shape)
-        for i in range(len(offs) - 1):
-            own, counts = np.unique(np.concatenate([b[s[i] : max(s[i], e[i])] for b, s, e in parts]), return_counts=True)
-            out.append((own, (counts / max(1, counts.sum())).astype(np.float32)))
-    return out
-
-
 def train(texts: pa.Array, labels: np.ndarray, shape: Shape = Shape(), *, epochs: int = 8, rate: float = 25.0, seed: int = 5) -> tuple[np.ndarray, float]:
     """(one number a bucket, offset): the logit of label 1 is their average over a text plus the offset.
 
@@ -74,7 +63,7 @@ def train(texts: pa.Array, labels: np.ndarray, shape: Shape = Shape(), *, epochs
     vectors = rng.normal(0, 0.1, (len(table), shape.width)).astype(np.float32)
     layer = rng.normal(0, 0.5, (2, shape.width)).astype(np.float32)
     bias = np.array([0.0, start], np.float32)
-    bags = _bags(texts, shape)
+    bags = wh.Bags(texts, lambda data, offs: _features(data, offs, shape))
     steps, total = 0, epochs * len(bags)
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
@@ -147,6 +136,7 @@ def score_quality(
     if {score_out.lower(), predicted_out.lower()} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns {score_out!r} and {predicted_out!r} must be new")
     table, offset = train(*labelled_sample(docs, labels, label_col=label_col, most_rows=most_rows, id_col=id_col, text_col=text_col), shape)
+    wh.returned_memory()
     model = docs.sparkSession.sparkContext.broadcast(table)  # 2^18 floats at any input size
     schema = StructType([*docs.schema.fields, StructField(score_out, DoubleType())])
 

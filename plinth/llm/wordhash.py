@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,3 +137,40 @@ def span_sums(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nd
     sums = np.zeros(len(values) + 1)
     np.cumsum(values, out=sums[1:], dtype=np.float64)
     return sums[np.minimum(ends, len(values))] - sums[np.minimum(begins, len(values))]
+
+
+class Bags:
+    """Distinct buckets of texts and how often they occur, packed in a few large arrays that memory returns from at once."""
+
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, parts):
+        """``parts(data, offs)``: (buckets, begins, ends) of the texts of a chunk, any number of times."""
+        self.chunks: list[tuple[np.ndarray, np.ndarray]] = []
+        self.where: list[tuple[int, int, int]] = []
+        for _, data, offs in chunks(texts):
+            found = parts(data, offs)
+            owns, counts, at = [], [], 0
+            for i in range(len(offs) - 1):
+                own, n = np.unique(np.concatenate([b[s[i] : max(s[i], e[i])] for b, s, e in found]), return_counts=True)
+                owns.append(own.astype(np.int32))
+                counts.append(np.minimum(n, 65535).astype(np.uint16))
+                self.where.append((len(self.chunks), at, at + len(own)))
+                at += len(own)
+            self.chunks.append((np.concatenate(owns), np.concatenate(counts)))
+
+    def __len__(self) -> int:
+        return len(self.where)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, shares): the shares add up to 1 in a text that has any."""
+        chunk, begin, end = self.where[i]
+        own, counts = self.chunks[chunk]
+        n = counts[begin:end].astype(np.float32)
+        return own[begin:end], n / max(1.0, float(n.sum()))
+
+
+def returned_memory() -> None:
+    """Gives freed memory back to the system, after work on a driver that has to stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
