@@ -22,7 +22,7 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     mark = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_smallest(both), "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(_smallest(both), "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = _smallest(large)
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = settle(small.unionByName(low.filter("u <> m").select("u", F.col("m").alias("v"))).distinct(), "stars")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm import wordhash as wh
-from plinth.llm.common import settle
+from plinth.llm.common import settle, shuffle_width
 from plinth.llm.components import components
 
 #: log2 of the slots of the frequency table; parts of it that are merged apart; least total that counts as frequent.
@@ -35,6 +35,8 @@ SMALL, BLOCK_ENTRIES = 8, 600_000
 HELD_TO_COUNT, HELD_TO_DEAL = 3_000_000, 1_200_000
 #: Sets in one block of the late comparison.
 LATE_SETS = 8192
+#: Partners a set names in the round before the one that names all.
+LIKELIEST = 4
 #: Index entries that one candidate is worth, and the part of a set that its prefix may at most be lengthened by.
 CANDIDATE_COST, MOST_LONGER = 4.0, 8
 #: Tokens in sets of this frequency class or above never meet in one block: their entries are spread over the blocks.
@@ -326,17 +328,39 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, p
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _late_pairs(open_entries: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different labels that share enough of the open tokens (token, key, label, first).
+def _open_entries(entries: DataFrame, joined: DataFrame, info: DataFrame) -> DataFrame:
+    """(token, key, label, first) of the tokens that sets of several components meet in, without hopeless sets.
 
-    Sets that meet over open tokens, even at second hand, form a group. Of a group the sets outside its largest
-    label are compared in blocks with each other and with blocks of the largest one; two sets of that label never are.
+    A set that holds k open tokens, fewer than its own l, can only be linked to a set with an l of at most k, and has to
+    share that many tokens with it: it needs at least as many tokens in which such sets stand as the least of their l.
     """
+    placed = entries.join(joined.withColumnRenamed("node", "key"), "key", "left").join(info.select("key", "l"), "key").select("token", "key", "l", F.coalesce("label", "key").alias("label"))
+    met = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("l").alias("least")).filter("low <> high").select("token", "least")
+    held = placed.join(met, "token").groupBy("key").agg(F.first("l").alias("l"), F.collect_list("least").alias("leasts"))
+    within = F.filter("leasts", lambda x: x <= F.size("leasts"))
+    held = held.filter((F.size("leasts") >= F.col("l")) | (F.size(within) >= F.coalesce(F.array_min(within), F.lit(1 << 30)))).select("key")
+    placed = placed.join(held, "key", "left_semi")
+    split = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("first")).filter("low <> high").select("token", "first")
+    return settle(placed.drop("l").join(split, "token"), "open-entries")
+
+
+def _open_sets(open_entries: DataFrame, info: DataFrame) -> DataFrame:
+    """(key, tokens, g, n, l): sets with their open tokens; sets that meet over these, even at second hand, form a group g."""
     groups = components(open_entries.select(F.col("first").alias("a"), F.col("key").alias("b")).distinct())
-    sets = open_entries.groupBy("key", "label").agg(F.collect_list("token").alias("tokens")).join(groups.select(F.col("node").alias("key"), F.col("label").alias("g")), "key").join(info.select("key", "n", "l"), "key")
-    sets = settle(sets, "open-sets")
+    tokens = open_entries.groupBy("key").agg(F.collect_list("token").alias("tokens"))
+    return settle(tokens.join(groups.select(F.col("node").alias("key"), F.col("label").alias("g")), "key").join(info.select("key", "n", "l"), "key"), "open-sets")
+
+
+def _late_pairs(sets: DataFrame, joined: DataFrame, percent: int, likeliest: int | None = None) -> DataFrame:
+    """(a, b): pairs of the open sets that share enough of the open tokens and are in different components.
+
+    Of a group the sets outside its largest component are compared in blocks with each other and with blocks of the
+    largest one; two sets of that component never are.
+    With ``likeliest``, a set names in each comparison only so many partners, those that it shares most with.
+    """
+    sets = sets.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     sizes = sets.groupBy("g", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"))
-    sizes = sizes.select("g", F.col("top.label").alias("main"), F.ceil(F.col("top.m") / LATE_SETS).alias("mains"), F.ceil((F.col("all") - F.col("top.m")) / LATE_SETS).alias("rests"))
+    sizes = sizes.select("g", F.col("top.label").alias("main"), F.ceil(F.col("top.m") / LATE_SETS).alias("mains"), F.ceil((F.col("all") - F.col("top.m")) / LATE_SETS).alias("rests")).filter("rests > 0")
     dealt = sets.join(sizes, "g").withColumn("is_main", F.col("label") == F.col("main"))
     block = F.pmod(F.xxhash64("key"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests")))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
@@ -355,21 +379,35 @@ def _late_pairs(open_entries: DataFrame, info: DataFrame, percent: int) -> DataF
         order = np.argsort(flat, kind="stable")
         ordered, owner = flat[order], np.repeat(np.arange(len(keys)), np.diff(cuts))[order]
         firsts, seconds = [], []
+        held = np.diff(cuts)
         for x in np.flatnonzero(~main):
+            need = needed_matches(n, n[x], l, l[x], percent, np.minimum, np.maximum, lambda v, d: -(-v // d))
+            fit = (labels != labels[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & (np.minimum(held, held[x]) >= need)
+            if not fit.any():
+                continue
             own = flat[cuts[x] : cuts[x + 1]]
             lows, highs = np.searchsorted(ordered, own, "left"), np.searchsorted(ordered, own, "right")
-            met = np.concatenate([owner[i:j] for i, j in zip(lows, highs, strict=True)])
+            spans = sorted(zip(highs - lows, lows, highs, strict=True))
+            # A partner misses all but ``need`` of the tokens at most, so it stands at one of the rarest that remain.
+            rare = len(spans) - int(need[fit].min()) + 1
+            met = np.concatenate([owner[i:j] for _, i, j in spans[:rare]])
+            if not fit[met].any():
+                continue
+            met = np.concatenate([met, *(owner[i:j] for _, i, j in spans[rare:])])
             counts = np.bincount(met, minlength=len(keys))
-            need = needed_matches(n, n[x], l, l[x], percent, np.minimum, np.maximum, lambda v, d: -(-v // d))
-            hit = (counts >= need) & (labels != labels[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
-            other = keys[np.flatnonzero(hit)]
+            found = np.flatnonzero(fit & (counts >= need))
+            if likeliest is not None and len(found) > likeliest:
+                found = found[np.argsort(-counts[found], kind="stable")[:likeliest]]
+            other = keys[found]
             firsts.append(np.minimum(other, keys[x]))
             seconds.append(np.maximum(other, keys[x]))
         join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
         found = np.unique(np.stack([join(firsts), join(seconds)], axis=1), axis=0)
         return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
-    return dealt.groupBy("g", "cell").applyInArrow(compare, "a long, b long").distinct()
+    # The rows are few and cost much, so they are spread over all tasks, which their size would not make Spark do.
+    spread = dealt.repartition(shuffle_width(dealt.sparkSession), "g", "cell")
+    return spread.groupBy("g", "cell").applyInArrow(compare, "a long, b long").distinct()
 
 
 def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -413,16 +451,18 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = settle(verified(base, classes, first, size, percent), "verified")
     joined = components(links)
 
-    # What remains: pairs in different components that meet only in tokens of many sets.
-    placed = entries.join(joined.withColumnRenamed("node", "key"), "key", "left").select("token", "key", F.coalesce("label", "key").alias("label"))
-    split = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("first")).filter("low <> high").select("token", "first")
-    open_entries = settle(placed.join(split, "token"), "open-entries")
+    # What remains: pairs in different components that meet only in tokens of many sets. Likely partners come first,
+    # as what they join needs no further pairs; the last round leaves none out.
+    open_entries = _open_entries(entries, joined, info)
     if not open_entries.isEmpty():
-        late = _late_pairs(open_entries, info, percent).join(first, ["a", "b"], "left_anti")
-        late = settle(late, "late-candidates")
-        if not late.isEmpty():
-            more = settle(verified(base, classes, late, size, percent), "late-verified")
-            joined = components(links.unionByName(more))
+        sets = _open_sets(open_entries, info)
+        for likeliest in (LIKELIEST, None):
+            late = settle(_late_pairs(sets, joined, percent, likeliest).join(first, ["a", "b"], "left_anti"), "late-candidates")
+            if late.isEmpty():
+                break
+            first = first.unionByName(late)
+            links = links.unionByName(settle(verified(base, classes, late, size, percent), "late-verified"))
+            joined = components(links)
 
     labelled = filled.join(joined.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", "key", F.coalesce("label", "key").alias("label"))
     names = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
