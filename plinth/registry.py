@@ -370,7 +370,7 @@ def cache_keys(spark, sf_dir):
 @query("SELECT doc_id, url_encode(source || ' *~+/' || lang || ':' || substring(text, 1, 200)) AS encoded FROM documents")
 def iri_encoding(spark, sf_dir):
     docs = gv.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", encode_for_uri(F.concat("source", F.lit(" *~+/"), "lang", F.lit(":"), F.substring("text", 1, 200))).alias("encoded"))
+    return docs.select("doc_id", encode_for_uri(F.concat("source", F.lit(" *~+/"), "lang", F.lit(":"), "text")).alias("encoded"))
 
 
 #: Answers of the stand-in model, by report number modulo their count: each kind of answer a model gives.

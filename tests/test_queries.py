@@ -2,6 +2,7 @@
 
 import glob
 import os
+from urllib.parse import quote
 
 import duckdb
 import pytest
@@ -42,3 +43,10 @@ def test_entry_point(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_iri_encoding_covers_whole_texts(spark, tmp_path):
+    texts = ["a" * 200 + " é~*+/ " + "b" * 300 + "漢 😀%", "x y" * 1000 + "\n&", "", None]
+    spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["encoded"] for r in registry.QUERIES["iri_encoding"](spark, str(tmp_path)).collect()}
+    assert found == {i: None if t is None else quote(f"web *~+/en:{t}", safe="") for i, t in enumerate(texts)}
