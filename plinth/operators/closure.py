@@ -79,6 +79,24 @@ def closure(edges: DataFrame, *, reflexive: bool = True, most_hops: int | None =
     return seen
 
 
+def closure_by_doubling(edges: DataFrame) -> DataFrame:
+    """(sub, super, hops): what ``closure`` gives without ``reflexive``, for long chains: rounds grow with the logarithm of the hops.
+
+    Before a round the pairs of at most ``far`` hops are known. One of at most twice that has on its shortest path a node
+    exactly ``far`` hops away, so only pairs of that length are extended, by all known ones. Cycles end it.
+    """
+    steps = edges.filter("sub is not null and super is not null and sub <> super").select("sub", "super").distinct()
+    seen, far = written(steps.withColumn("hops", F.lit(1)), "closure-seen"), 1
+    while True:
+        ends = seen.filter(F.col("hops") == far).select("sub", F.col("super").alias("via"))
+        step = ends.join(seen.select(F.col("sub").alias("via"), "super", (F.col("hops") + far).alias("hops")), "via").filter("sub <> super")
+        new = step.groupBy("sub", "super").agg(F.min("hops").alias("hops")).join(seen, ["sub", "super"], "left_anti")
+        new = written(new.select("sub", "super", "hops"), "closure-round")
+        if new.isEmpty():
+            return seen
+        seen, far = seen.unionByName(new), 2 * far
+
+
 def closure_sql(spark: SparkSession, edges: DataFrame, most_hops: int = 50) -> DataFrame:
     """(sub, super) of a small acyclic or cyclic hierarchy as one recursive query; the path guards against cycles."""
     edges.select("sub", "super").createOrReplaceTempView("_pl_edges")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.text import cache_key, encode_for_uri
 from plinth.operators import incidents, motifs, patterns, risk, taxonomy
-from plinth.operators.closure import Hierarchy, closure
+from plinth.operators.closure import Hierarchy, closure, closure_by_doubling
 from plinth.plans import graph_view as gv
 from plinth.plans.vocabulary import CATEGORY_EDGES, ROLE_EDGES, TYPE, Vocabulary
 from plinth.sources import graph as graphs
@@ -110,7 +110,7 @@ def _event_edges(spark, sf_dir):
 walk(sub, super, hops) AS (SELECT sub, super, 1 FROM edge UNION SELECT w.sub, e.super, w.hops + 1 FROM walk w JOIN edge e ON e.sub = w.super WHERE w.hops < 3)
 SELECT sub, super, CAST(hops AS BIGINT) AS hops FROM walk""")
 def inform_reachability(spark, sf_dir):
-    return closure(_event_edges(spark, sf_dir), reflexive=False, most_hops=3).withColumn("hops", F.col("hops").cast("long"))
+    return closure_by_doubling(_event_edges(spark, sf_dir)).withColumn("hops", F.col("hops").cast("long"))
 
 
 @query(f"""{BASE_SQL}, inform AS (SELECT DISTINCT p.s AS a, u.s AS b FROM produce_edge p JOIN use_edge u ON u.o = p.o),

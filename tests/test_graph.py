@@ -1,9 +1,11 @@
 """Motifs and findings on small graphs: the worked example and its variants."""
 
+import random
+
 import pytest
 
 from plinth.operators import motifs, risk
-from plinth.operators.closure import Hierarchy, closure, closure_sql
+from plinth.operators.closure import Hierarchy, closure, closure_by_doubling, closure_sql
 from plinth.sources import turtle
 from plinth.sources.graph import graph_of, merged, read_triples, with_superproperties, write_triples
 from tests.graphs import LLM, PREFIXES, TWO_HOPS
@@ -104,6 +106,15 @@ def test_closures_agree(spark, edges):
     assert {(r["sub"], r["super"]) for r in closure_sql(spark, df.filter("sub <> super")).collect()} == found
 
 
+def test_doubling_finds_least_hops(spark):
+    rng = random.Random(5)
+    for n in (0, 1, 30, 60):
+        edges = [(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(n)] + [(f"n{i}", f"n{i + 1}") for i in range(n // 3)] + [("n9", "n0"), (None, "n1")]
+        df = spark.createDataFrame(edges, "sub string, super string")
+        shown = lambda found: sorted(tuple(r) for r in found.select("sub", "super", "hops").collect())
+        assert shown(closure_by_doubling(df)) == shown(closure(df, reflexive=False))
+
+
 def test_turtle_syntax(spark, tmp_path):
     text = '''@prefix a-b: <http://x/#> . @base <http://base/> .
 # a comment

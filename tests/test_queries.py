@@ -50,3 +50,11 @@ def test_iri_encoding_covers_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["doc_id"]: r["encoded"] for r in registry.QUERIES["iri_encoding"](spark, str(tmp_path)).collect()}
     assert found == {i: None if t is None else quote(f"web *~+/en:{t}", safe="") for i, t in enumerate(texts)}
+
+
+def test_inform_reachability_reaches_the_end_of_a_chain(spark, tmp_path):
+    lengths = {1: 1, 2: 4, 3: 9, 4: 70}
+    rows = [(100 * user + i, user, i // 2) for user, n in lengths.items() for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long").write.parquet(f"{tmp_path}/events.parquet")
+    found = [tuple(r) for r in registry.QUERIES["inform_reachability"](spark, str(tmp_path)).select("sub", "super", "hops").collect()]
+    assert sorted(found) == sorted((100 * user + i, 100 * user + j, j - i) for user, n in lengths.items() for j in range(n) for i in range(j))
