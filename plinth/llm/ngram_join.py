@@ -459,7 +459,7 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for likeliest in (LIKELIEST, None):
             late = settle(_late_pairs(sets, joined, percent, likeliest).join(first, ["a", "b"], "left_anti"), "late-candidates")
             if late.isEmpty():
-                break
+                continue
             first = first.unionByName(late)
             links = links.unionByName(settle(verified(base, classes, late, size, percent), "late-verified"))
             joined = components(links)

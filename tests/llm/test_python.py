@@ -268,6 +268,22 @@ def test_similarity_with_spread_tokens(spark, monkeypatch):
     assert shown(ngram_join.similar_classes(df)) == joined_by_force(rows)
 
 
+def test_similarity_when_the_capped_round_is_empty(spark, monkeypatch):
+    """A round without new partners, here as none may be named, must not keep the round that names all from running."""
+    monkeypatch.setattr(ngram_join, "LIKELIEST", 0)
+    rng = random.Random(4)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}.{i}" for i in range(40)]
+        for _ in range(14):
+            text = list(base)
+            for i in rng.sample(range(40), rng.choice([3, 4, 5])):
+                text[i] = f"u{len(rows)}.{i}"
+            rows.append((len(rows), " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert shown(ngram_join.similar_classes(df, size=1)) == joined_by_force(rows, size=1)
+
+
 def test_similarity_of_nothing_and_one_of_each(spark):
     df = spark.createDataFrame([(3, "a b c d e f", 1), (2, "A b c d e f", 2), (2, "A b c d e f", 2), (9, "other text", 3), (8, "", 4), (None, "a b c d e f", 5)], "doc_id long, text string, extra int")
     kept = sorted((r["doc_id"], r["extra"]) for r in ngram_join.keep_one_of_each(df).collect() if r["doc_id"] is not None)
