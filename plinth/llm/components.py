@@ -12,15 +12,19 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, label): the smallest node reachable from each node of the links (a, b); nodes without links are absent.
 
     Each round is two joins on narrow rows whose large keys adaptive execution splits, and is written to the
     shared folder; a round that leaves the edges as they were ends it. Loops and repeated links do no harm.
+    If ``most_rounds`` is given and runs out before that, it is an error.
     """
     edges = settle(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = None
-    for _ in range(most_rounds):
+    mark, rounds = None, 0
+    while True:
+        if rounds == most_rounds:
+            raise RuntimeError(f"components are not complete after {most_rounds} rounds")
+        rounds += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_smallest(both), "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = _smallest(large)

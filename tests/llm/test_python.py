@@ -321,6 +321,13 @@ def test_components_of_a_chain_a_star_and_a_cycle(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_never_end_unfinished(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.components(links, most_rounds=1)
+    assert {tuple(r) for r in components.components(links).collect()} == {(i, 0) for i in range(41)}
+
+
 def test_encoder_equals_the_tokenizer_file(spark, sf):
     from tokenizers import Tokenizer
 
