@@ -132,10 +132,12 @@ def _parts(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndar
 def fit_languages(docs: DataFrame, *, rows_per_lang: int = 1500, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
     """Learns from at most ``rows_per_lang`` rows of each non-null language, drawn by hash outside the held-out third.
 
-    Of more than ``most_langs`` languages the most frequent are learned; both bounds hold at any input size.
+    More than ``most_langs`` languages are an error, as the machines of each pair grow with their square.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col), 3, 1))
-    counts = known.groupBy(F.col(lang_col).alias("_pl_lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "_pl_lang").limit(most_langs).collect()
+    counts = known.groupBy(F.col(lang_col).alias("_pl_lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "_pl_lang").limit(most_langs + 1).collect()
+    if len(counts) > most_langs:
+        raise ValueError(f"more than {most_langs} languages; raise most_langs to learn them all")
     if not counts:
         return Hierarchy([])
     # The hash has to fall below a level at which a language is expected to yield somewhat more than it may.

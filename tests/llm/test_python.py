@@ -198,6 +198,13 @@ def test_language_cases(spark):
     assert language_id.identify_language(df.limit(0), model).count() == 0
 
 
+def test_more_languages_than_can_be_learned_are_an_error(spark):
+    df = spark.createDataFrame([(i, f"text {i}", f"l{i % 4}") for i in range(60)], "doc_id long, text string, lang string")
+    assert language_id.fit_languages(df, most_langs=4).langs == ["l0", "l1", "l2", "l3"]
+    with pytest.raises(ValueError):
+        language_id.fit_languages(df, most_langs=3)
+
+
 def joined_by_force(rows, size=5, percent=75):
     sets = []
     for _, t in rows:
