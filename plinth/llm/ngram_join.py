@@ -1,10 +1,12 @@
 """Similarity join on word n-grams with adaptive multi-match prefixes.
 
 A document is the set of its distinct 5-word shingles; equal sets are one class and are handled once. Tokens are ordered
-from rare to frequent by a bounded table made from counts over all texts. Sets of Jaccard similarity t or more share at
-least l tokens of their prefixes when a prefix is the first n - ceil(t n) + l tokens; each set picks its l where the
-longer index costs less than the candidates it is expected to spare. A pair has to share the smaller l of the two, and
-so many that what lies behind the prefixes can still make up the overlap which its two sizes ask for.
+from rare to frequent by a bounded table made from counts over all texts, less the tokens that stand once in a worker's
+batch: these counts are too low by that, depend on the partitioning, and decide the costs but no link. Sets of Jaccard
+similarity t or more share at least l tokens of their prefixes when a prefix is the first n - ceil(t n) + l tokens; each
+set picks its l where the longer index costs less than the candidates it is expected to spare. A pair has to share the
+smaller l of the two, and so many that what lies behind the prefixes can still make up the overlap which its two sizes
+ask for.
 
 The index is dealt by token in packed blocks. Tokens of few sets give their pairs at once. Tokens of many sets first give
 one link to a leader each, the member that shares most with the others. Once links are verified and joined to
