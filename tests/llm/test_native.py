@@ -228,6 +228,17 @@ PII_ROWS = [
 ]
 
 
+def test_phones_in_pairs_of_digits(spark):
+    same, other = ["+33 6 12 34 56 78", "+33-6-12-34-56-78", "+33612345678"], ["+34 612 34 56 78", "+49 30 12 34 56 78"]
+    kept = ["+33 6 12 34", "x+33 6 12 34 56 78", "+999 999 12 34 56 78 90"]
+    df = spark.createDataFrame([(i, f"call {t}.") for i, t in enumerate(same + other + kept)], "doc_id long, text string")
+    out = [r["text"][5:-1] for r in pii.pseudonymise(df, key="k").orderBy("doc_id").collect()]
+    assert out[5:] == kept
+    for text, new in zip(same + other, out, strict=False):
+        assert new != text and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", text)
+    assert len({re.sub("[^0-9]", "", new) for new in out[:3]}) == 1
+
+
 def test_pseudonyms(spark):
     df = spark.createDataFrame(PII_ROWS, "doc_id long, text string")
     out = [r["text"] for r in pii.pseudonymise(df, key="k").collect()]
