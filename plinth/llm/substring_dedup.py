@@ -2,30 +2,81 @@
 
 Documents are dealt to parts by hash. Each part hashes every window of words of every text and sends one increment a
 distinct window to a one-row count-min sketch, which is divided into ranges so that no machine holds it whole and
-which travels sparse: about two bytes a window, whatever the number of parts. The merged sketch tells each part, one
-bit an increment, which of its windows may stand in several parts; an estimate never falls below the true count, so
-none is lost. Only those windows are sent again, in full, and grouped exactly for the smallest document id; the answer
-is again one bit a window. What repeats inside a part the part sees itself. The three passes over the texts share one
-exchange. A passage on a third of all documents costs one row a part.
+which travels sparse: two to four bytes a window and one row for each part and range. Parts, ranges and groups grow with
+the input as far as their bounds allow, so that a row holds 128 windows and more up to about 2 TB of text, and several at
+100 TB; see ``plan``. The merged sketch tells each part, one bit an increment, which of its windows may stand in several
+parts; an estimate never falls below the true count, so none is lost. Only those windows are sent again, in full, and
+grouped exactly for the smallest document id; the answer is again one bit a window. What repeats inside a part the part
+sees itself. The three passes over the texts share one exchange. A passage on a third of all documents costs one row a
+part, and repeated rows of different input splits are dealt to different parts.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from plinth.llm import wordhash as wh
 
-#: log2 of the counters in one range of the sketch.
-RANGE_BITS = 24
+#: log2 of the least and most counters in one range of the sketch, and of the windows of one group; bounds of a part's
+#: bytes of text; windows that a row between a part and a range or group should hold; bytes of text that a window takes.
+RANGE_BITS, GROUP_BITS, PART_BYTES, ROW_WINDOWS, WINDOW_BYTES = (24, 27), (21, 24), (2 << 20, 64 << 20), 128, 6
 LAST_ID = np.iinfo(np.int64).max
 
 
+@dataclass(frozen=True)
+class Plan:
+    """parts: number of parts; sketch_bits, range_bits: log2 of all counters and of those in a range; group_bits: log2 of the groups."""
+
+    parts: int
+    sketch_bits: int
+    range_bits: int
+    group_bits: int
+
+    @property
+    def ranges(self) -> int:
+        return 1 << (self.sketch_bits - self.range_bits)
+
+
+def plan(total_bytes: int, counters_per_window: int = 16, part_bytes: int = PART_BYTES[0], most_part_bytes: int = PART_BYTES[1]) -> Plan:
+    """Sizes for so many bytes of text. First parts grow, then ranges and groups, until rows between them are long enough."""
+    windows = total_bytes // WINDOW_BYTES
+    sketch_bits = max(RANGE_BITS[0], int(windows * counters_per_window).bit_length())
+    wanted = ROW_WINDOWS * WINDOW_BYTES << (sketch_bits - RANGE_BITS[0]) if sketch_bits > RANGE_BITS[0] else 0
+    each = min(max(part_bytes, wanted), max(part_bytes, most_part_bytes))
+    row = lambda rows: each // WINDOW_BYTES // max(1, rows)
+    most = min(RANGE_BITS[1], sketch_bits)
+    range_bits = next((b for b in range(RANGE_BITS[0], most) if row(1 << (sketch_bits - b)) >= ROW_WINDOWS), most)
+    group_bits = next((b for b in range(*GROUP_BITS) if row(windows >> b) >= ROW_WINDOWS), GROUP_BITS[1])
+    return Plan(max(1, -(-total_bytes // each)), sketch_bits, range_bits, max(0, (windows >> group_bits).bit_length()))
+
+
+def packed(values: np.ndarray, range_bits: int) -> bytes:
+    """Sorted counters of one range: the low 16 bits of each and the number in each block of 2^16, or, if few, 32 bits each."""
+    blocks = 1 << (range_bits - 16)
+    if len(values) < 4 * blocks:
+        return b"\0" + np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    counts = np.bincount((values >> np.uint64(16)).astype(np.int64) & (blocks - 1), minlength=blocks).astype("<u4")
+    return b"\1" + counts.tobytes() + values.astype("<u2").tobytes()
+
+
+def unpacked(raw: bytes, range_bits: int) -> np.ndarray:
+    """The counters inside their range."""
+    blocks = 1 << (range_bits - 16)
+    if raw[0] == 0:
+        wide = np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=1).reshape(4, -1).T).view("<u4").ravel()
+        return wide.astype(np.int64) & ((1 << range_bits) - 1)
+    counts = np.frombuffer(raw, "<u4", blocks, offset=1)
+    return np.repeat(np.arange(blocks, dtype=np.int64) << 16, counts) + np.frombuffer(raw, "<u2", offset=1 + 4 * blocks)
+
+
 def part_windows(table: pa.Table, size: int) -> tuple[np.ndarray, ...]:
     """(hash, row, begin, n_words): of each window its hash, its text's row, its first word there; per row its words."""
     hashes, rows, begins = [], [], []
@@ -36,10 +87,10 @@ def part_windows(table: pa.Table, size: int) -> tuple[np.ndarray, ...]:
         row = np.searchsorted(first, at, "right") - 1
         n_words[span] = np.diff(first)
         hashes.append(values)
-        rows.append(row + span.start)
-        begins.append(at - first[row])
+        rows.append((row + span.start).astype(np.int32))
+        begins.append((at - first[row]).astype(np.int32))
     join = lambda arrays, kind: np.concatenate(arrays) if arrays else np.zeros(0, kind)
-    return join(hashes, np.uint64), join(rows, np.int64), join(begins, np.int64), n_words
+    return join(hashes, np.uint64), join(rows, np.int32), join(begins, np.int32), n_words
 
 
 def smallest_ids(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,13 +139,25 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table["_pl_id"].fill_null(LAST_ID).to_numpy().astype(np.int64)
 
 
+def _split(docs: DataFrame) -> list[Column]:
+    """What tells the input splits apart, so that repeated rows of different ones are dealt apart; a task that runs again
+    finds the same. Nothing where several files meet in a row."""
+    split = [F.input_file_name(), F.input_file_block_start()]
+    try:
+        docs.select(*split)
+    except AnalysisException:
+        return []
+    return split
+
+
 def dedup_substrings(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = 13,
-    part_bytes: int = 2 << 20,
+    part_bytes: int = PART_BYTES[0],
+    most_part_bytes: int = PART_BYTES[1],
     counters_per_window: int = 16,
     text_out: str = "text",
     words_out: str = "n_words",
@@ -104,44 +167,36 @@ def dedup_substrings(
 
     ``text_out`` has the words that stay, joined by one space; ``words_out`` and ``removed_out`` (long) count words.
     Windows are judged on the input: the document with the smallest id keeps a passage whole. Null and empty texts
-    become empty with 0 words; texts shorter than a window keep all; repeated rows with one id do not remove
-    each other's words; a null id counts as larger than any; an empty table gives an empty result; other columns pass,
-    and output names that exist already, but for the text, are an error.
+    become empty with 0 words; texts shorter than a window keep all; very long texts are worked on whole, in one part;
+    repeated rows with one id do not remove each other's words; ids are compared as 64-bit integers, and an id that is
+    null or no such number counts as larger than any; an empty table gives an empty result; other columns pass, and
+    output names that exist already, but for the text, are an error. ``part_bytes`` and ``most_part_bytes`` bound the text of a part,
+    which a worker holds whole.
     """
     others = [c for c in docs.columns if c != text_out]
     if {words_out.lower(), removed_out.lower()} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns {words_out!r} and {removed_out!r} must be new")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
-    sketch_bits = max(RANGE_BITS, int(total // 6 * counters_per_window).bit_length())
-    ranges = 1 << (sketch_bits - RANGE_BITS)
-    group_bits = max(0, int(total // 6 >> 21).bit_length())
+    sizes = plan(total, counters_per_window, part_bytes, most_part_bytes)
+    parts, sketch_bits, range_bits, ranges, group_bits = sizes.parts, sizes.sketch_bits, sizes.range_bits, sizes.ranges, sizes.group_bits
     base = docs.select(
-        F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)).cast("int").alias("part"),
-        F.col(id_col).cast("long").alias("_pl_id"),
+        F.pmod(F.xxhash64(id_col, text_col, *_split(docs)), F.lit(parts)).cast("int").alias("part"),
+        F.col(id_col).try_cast("long").alias("_pl_id"),
         F.col(text_col).alias("_pl_text"),
         F.struct(F.lit(0).alias("_pl_none"), *(F.col(c) for c in others)).alias("_pl_row"),
     )
 
     def sketch(table: pa.Table) -> pa.Table:
         own = np.unique(counters(part_windows(table, window)[0], sketch_bits))
-        cuts, part = _cuts(own, RANGE_BITS, ranges), table["part"][0].as_py()
-        out = []
-        for r in np.flatnonzero(np.diff(cuts)):
-            inside = own[cuts[r] : cuts[r + 1]]
-            blocks = np.bincount((inside >> np.uint64(16)).astype(np.int64) & 255, minlength=256).astype("<u4")
-            out.append((part, int(r), blocks.tobytes() + inside.astype("<u2").tobytes()))
+        cuts, part = _cuts(own, range_bits, ranges), table["part"][0].as_py()
+        out = [(part, int(r), packed(own[cuts[r] : cuts[r + 1]], range_bits)) for r in np.flatnonzero(np.diff(cuts))]
         return _rows(_SKETCH, list(zip(*out, strict=True)) or [[], [], []])
 
-    def unpacked(raw: bytes) -> np.ndarray:
-        blocks = np.frombuffer(raw, "<u4", 256)
-        return np.repeat(np.arange(256, dtype=np.int64) << 16, blocks) + np.frombuffer(raw, "<u2", offset=1024)
-
     def merge(table: pa.Table) -> pa.Table:
         raw = table["data"].to_pylist()
-        increments = [unpacked(x) for x in raw]
+        increments = [unpacked(x, range_bits) for x in raw]
         ordered = np.sort(np.concatenate(increments))
-        several = np.zeros(1 << RANGE_BITS, bool)
+        several = np.zeros(1 << range_bits, bool)
         several[ordered[1:][ordered[1:] == ordered[:-1]]] = True
         flags = [several[x] for x in increments]
         out = [(p, r, np.packbits(f).tobytes()) for p, r, f in zip(table["part"].to_pylist(), table["range"].to_pylist(), flags, strict=True) if f.any()]
@@ -166,7 +221,7 @@ def dedup_substrings(
         hashes, rows, _, _ = part_windows(table, window)
         distinct, least, _ = smallest_ids(hashes, _ids(table)[rows])
         own, back = np.unique(counters(distinct, sketch_bits), return_inverse=True)
-        suspect = bits_of(answers, own, RANGE_BITS, ranges)[back]
+        suspect = bits_of(answers, own, range_bits, ranges)[back]
         cuts, part = groups_cut(distinct), table["part"][0].as_py()
         out = []
         for g in range(len(cuts) - 1):

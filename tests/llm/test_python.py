@@ -84,6 +84,38 @@ def test_substring_cases(spark):
         substring_dedup.dedup_substrings(df.withColumn("n_words", F.lit(1)))
 
 
+@pytest.mark.parametrize("range_bits", [24, 25, 27])
+@pytest.mark.parametrize("n", [1, 200, 5000, 60_000])
+def test_sketches_travel_in_few_bytes(range_bits, n):
+    rng = np.random.default_rng(n)
+    own = np.unique(rng.integers(0, 1 << range_bits, n)).astype(np.uint64)
+    raw = substring_dedup.packed(own + np.uint64(5 << range_bits), range_bits)
+    assert substring_dedup.unpacked(raw, range_bits).tolist() == own.tolist()
+    assert len(raw) <= 4 * len(own) + 1
+
+
+@pytest.mark.parametrize("size,most", [(10**8, 5), (5 * 10**8, 5), (3 * 10**10, 5), (10**12, 5), (10**13, 6), (10**14, 17)])
+def test_sketch_traffic_does_not_grow_with_the_square(size, most):
+    """Bytes a window between parts and ranges, with 64 for a row: parts times ranges rows must stay few."""
+    plan = substring_dedup.plan(size)
+    windows = size / substring_dedup.WINDOW_BYTES
+    assert 4 + 64 * plan.parts * plan.ranges / windows <= most
+    assert 64 * plan.parts * (1 << plan.group_bits) / windows <= most
+    assert size / plan.parts <= 64 << 20 and plan.range_bits <= 27
+
+
+def test_substrings_with_repeated_rows_in_many_files(spark, tmp_path):
+    rng = random.Random(8)
+    text = " ".join(rng.choices("abcdefgh", k=60))
+    rows = [(7, text)] * 40 + [(9, "x " + text), (3, " ".join(rng.choices("abcdefgh", k=30)))] * 3
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    joined = docs.join(docs.select("doc_id").distinct(), "doc_id")  # has no one input file
+    for df in (docs, joined):
+        out = substring_dedup.dedup_substrings(df, window=5, part_bytes=200)
+        assert sorted(((r["doc_id"], r["text"], r["n_words"], r["n_removed"]) for r in out.collect()), key=str) == cut_by_force(rows, 5)
+
+
 def check_packing(pieces, expected, window, least_cut):
     found, length = collections.defaultdict(list), collections.Counter()
     for p in pieces:
