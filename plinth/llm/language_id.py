@@ -1,8 +1,10 @@
 """Language identification by hierarchical discrimination.
 
-Linear one-versus-one support vector machines first choose the language family, then others choose among the closely
-related languages inside it. All machines share one pass over hashed byte n-grams and words of the text: a bucket holds
-one weight for each machine. Training is hinge-loss subgradient descent in numpy on a bounded sample of each language.
+Linear support vector machines, one for each family against the rest, first choose the language family; then
+one-versus-one machines choose among the closely related languages inside it, so that the machines grow with the number
+of languages and not with its square. All share one pass over hashed byte n-grams and words of the text: a bucket holds
+one weight for each machine. Training is subgradient descent on the hinge loss with an L2 term, in numpy on the driver,
+over the hashed features of a bounded sample of each language, which executors make.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -32,6 +34,8 @@ FAMILIES = {
 }
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 BITS, SIZES, SCALE = 16, (2, 3, 4), 40.0
+#: log2 of the weights of all machines together, 64 MB: beyond 256 machines they have fewer buckets each. The L2 term.
+WEIGHT_BITS, SHRINK = 24, 1e-4
 # ASCII letters count in lower case, other ASCII bytes as a space, bytes of other letters as they are.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)])
 _CODES = (wh.constants(256, 41) >> np.uint64(32)).astype(np.uint32)[_FOLD]
@@ -42,7 +46,7 @@ def family_of(lang: str) -> str:
 
 
 class Hierarchy:
-    """Machines: pairs of families, then pairs of languages of one family; each has a column of weights and an offset."""
+    """Machines: each family against the rest, then pairs of languages of one family; each has a column of weights and an offset."""
 
     def __init__(self, langs: list[str]):
         self.langs = sorted(langs)
@@ -50,46 +54,59 @@ class Hierarchy:
         for lang in self.langs:
             self.members.setdefault(family_of(lang), []).append(lang)
         self.families = sorted(self.members)
-        self.machines = [(None, a, b) for a, b in combinations(self.families, 2)]
+        self.machines = [(None, family, None) for family in self.families] if len(self.families) > 1 else []
         self.machines += [(family, a, b) for family in self.families for a, b in combinations(self.members[family], 2)]
-        self.weights = np.zeros((1 << BITS, len(self.machines)), np.float32)
+        self.bits = min(BITS, WEIGHT_BITS - max(0, len(self.machines) - 1).bit_length())
+        self.weights = np.zeros((1 << self.bits, len(self.machines)), np.float32)
         self.offsets = np.zeros(len(self.machines))
 
-    def fit(self, texts: pa.Array, labels: list[str], epochs: int = 6, seed: int = 3) -> "Hierarchy":
-        bags = wh.Bags(texts, _parts)
-        rng = np.random.default_rng(seed)
+    def fit(self, bags: wh.Bags, labels: list[str], epochs: int = 6, seed: int = 3) -> "Hierarchy":
+        """Bags have ``BITS`` bits; fewer are their low ones."""
+        rng, mask = np.random.default_rng(seed), (1 << self.bits) - 1
+        families = [family_of(x) for x in labels]
         for m, (family, a, b) in enumerate(self.machines):
-            side = [(x if family else family_of(x)) for x in labels]
-            rows = [i for i, x in enumerate(side) if x in (a, b)]
-            w, offset, steps, total = np.zeros(1 << BITS, np.float32), 0.0, 0, epochs * max(1, len(rows))
+            side = labels if family else families
+            rows = [i for i, x in enumerate(side) if b is None or x in (a, b)]
+            # The weights are v * scale, so that shrinking all of them is one multiplication.
+            v, scale, offset, steps, total = np.zeros(1 << self.bits, np.float64), 1.0, 0.0, 0, epochs * max(1, len(rows))
             for _ in range(epochs):
                 for i in rng.permutation(len(rows)):
                     own, share = bags[rows[i]]
-                    x = SCALE * share
+                    own, x = own & mask, SCALE * share
                     y = 1.0 if side[rows[i]] == a else -1.0
                     pace = 0.5 * (1 - steps / total)
                     steps += 1
-                    if y * (w[own] @ x + offset) < 1:
-                        w[own] += pace * y * x
+                    margin = y * (scale * (v[own] @ x) + offset)
+                    scale *= 1 - pace * SHRINK
+                    if margin < 1:
+                        np.add.at(v, own, pace * y / scale * x)
                         offset += 0.1 * pace * y
-            self.weights[:, m], self.offsets[m] = w, offset
-        del bags
-        wh.returned_memory()
+            self.weights[:, m], self.offsets[m] = v * scale, offset
         return self
 
     def margins(self, texts: pa.Array) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.machines)))
+        out, mask = np.zeros((len(texts), len(self.machines))), np.uint32((1 << self.bits) - 1)
         for rows, data, offs in wh.chunks(texts):
             n, sums = np.zeros(len(offs) - 1), np.zeros((len(offs) - 1, len(self.machines)))
             for buckets, begins, ends in _parts(data, offs):
                 ends = np.maximum(ends, begins)
                 n += ends - begins
+                own = buckets & mask
                 for m in range(len(self.machines)):
-                    sums[:, m] += wh.span_sums(self.weights[:, m][buckets], begins, ends)
+                    sums[:, m] += wh.span_sums(self.weights[:, m][own], begins, ends)
             out[rows] = SCALE * sums / np.maximum(n, 1)[:, None] + self.offsets
         return out
 
-    def _choose(self, margins: np.ndarray, family: str | None, options: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _families(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The family with the largest margin, the first of equal ones, and its share of the families' probabilities."""
+        if len(self.families) < 2:
+            return np.zeros(len(margins), np.int64), np.ones(len(margins))
+        own = margins[:, : len(self.families)]
+        p = 1 / (1 + np.exp(-np.clip(2 * own, -30, 30)))
+        best = np.argmax(own, axis=1)
+        return best, p[np.arange(len(best)), best] / p.sum(axis=1)
+
+    def _choose(self, margins: np.ndarray, family: str, options: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Most votes win, then the larger sum of margins, then the first; with the mean of the winner's probabilities."""
         votes, heft, sure = (np.zeros((len(margins), len(options))) for _ in range(3))
         for m, (of, a, b) in enumerate(self.machines):
@@ -110,7 +127,7 @@ class Hierarchy:
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
         margins = self.margins(texts)
-        family, p = self._choose(margins, None, self.families)
+        family, p = self._families(margins)
         lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
         for k, name in enumerate(self.families):
             rows = np.flatnonzero((family == k) & letters)
@@ -129,33 +146,40 @@ def _parts(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndar
     return [*parts, (words, first[:-1], first[1:])]
 
 
-def fit_languages(docs: DataFrame, *, rows_per_lang: int = 1500, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
-    """Learns from at most ``rows_per_lang`` rows of each non-null language, drawn by hash outside the held-out third.
+def fit_languages(docs: DataFrame, *, rows_per_lang: int = 1500, most_rows: int = 30_000, most_langs: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
+    """Learns every non-null language from at most ``rows_per_lang`` of its rows, drawn by hash outside the held-out third.
 
-    More than ``most_langs`` languages are an error, as the machines of each pair grow with their square.
+    All languages together get about ``most_rows`` rows, but at least 20 each. Equal rows of one id count once. A row has
+    at most 2^16 features of 6 bytes, however long its text is. More than ``most_langs`` languages, if given, are an error.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col), 3, 1))
-    counts = known.groupBy(F.col(lang_col).alias("_pl_lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "_pl_lang").limit(most_langs + 1).collect()
-    if len(counts) > most_langs:
+    known = known.select(F.col(lang_col).cast("string").alias("_pl_lang"), F.col(text_col).alias("_pl_text"), F.xxhash64(id_col, text_col).alias("_pl_hash"))
+    counts = known.groupBy("_pl_lang").agg(F.approx_count_distinct("_pl_hash").alias("n")).orderBy("_pl_lang").collect()
+    if most_langs is not None and len(counts) > most_langs:
         raise ValueError(f"more than {most_langs} languages; raise most_langs to learn them all")
     if not counts:
         return Hierarchy([])
-    # The hash has to fall below a level at which a language is expected to yield somewhat more than it may.
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col(lang_col) == row["_pl_lang"], min(1.0, 1.3 * rows_per_lang / row["n"])).otherwise(share)
-    drawn = F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < share * 1_000_003
-    got = known.filter(drawn).select(F.col(lang_col).alias("_pl_lang"), F.col(text_col).alias("_pl_text")).toArrow().sort_by([("_pl_lang", "ascending"), ("_pl_text", "ascending")])
-    langs = got["_pl_lang"].to_pylist()
-    return Hierarchy([row["_pl_lang"] for row in counts if row["_pl_lang"] in set(langs)]).fit(got["_pl_text"].combine_chunks(), langs)
+    rows_per_lang = max(1, min(rows_per_lang, max(20, most_rows // len(counts))))
+    # The hash has to fall below a level at which a language is expected to yield somewhat more distinct rows than it may.
+    shares = docs.sparkSession.createDataFrame([(row["_pl_lang"], min(1.0, 1.3 * rows_per_lang / max(1, row["n"]))) for row in counts], "_pl_lang string, share double")
+    drawn = known.join(F.broadcast(shares), "_pl_lang").filter(F.pmod("_pl_hash", F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    once = drawn.groupBy("_pl_lang", "_pl_hash").agg(F.min("_pl_text").alias("text"))
+    within = F.row_number().over(Window.partitionBy("_pl_lang").orderBy(F.pmod("_pl_hash", F.lit(1_000_003)), "_pl_hash"))
+    chosen = once.withColumn("place", within).filter(F.col("place") <= rows_per_lang)
+    label = F.concat_ws(":", F.lpad("place", 9, "0"), F.col("_pl_lang"))
+    got = chosen.select(label.alias("label"), "text").mapInArrow(wh.bagged(_parts), wh.BAG_SQL).toArrow().sort_by("label")
+    model = Hierarchy([row["_pl_lang"] for row in counts]).fit(wh.Bags(got), [x.split(":", 1)[1] for x in got["label"].to_pylist()])
+    del got
+    wh.returned_memory()
+    return model
 
 
 def identify_language(docs: DataFrame, model: Hierarchy, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
     """``docs`` with the predicted language and the product of the winners' probabilities (0 to 1).
 
     Null texts and texts without a letter are 'und' with score 0, and so is everything under a model that has
-    learned nothing; repeated rows get equal results; an empty table gives an empty result; other columns pass;
-    output columns that exist already are an error.
+    learned nothing; very long texts count whole; repeated rows get equal results; an empty table gives an empty result;
+    other columns pass; output columns that exist already are an error.
     """
     if {lang_out.lower(), score_out.lower()} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns {lang_out!r} and {score_out!r} must be new")
@@ -166,5 +190,6 @@ def identify_language(docs: DataFrame, model: Hierarchy, *, text_col: str = "tex
         for batch in batches:
             langs, scores = shared.value.predict(batch.column(text_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], [*batch.schema.names, lang_out, score_out])
+        wh.returned_memory()
 
     return docs.mapInArrow(judge, schema)

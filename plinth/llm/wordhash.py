@@ -127,6 +127,23 @@ def gram_buckets(codes: np.ndarray, size: int, bits: int) -> np.ndarray:
     return (total ^ (total >> np.uint32(16))) & np.uint32((1 << bits) - 1)
 
 
+def characters(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, offsets): a number for each UTF-8 character, 32 for white space, and the texts' offsets in characters."""
+    if not len(data) or data.max() < 128:
+        codes, places = data.astype(np.uint32), offs
+    else:
+        inner = (data & 0xC0) == 0x80
+        at = np.flatnonzero(~inner)
+        codes, going = data[at].astype(np.uint32), np.ones(len(at), bool)
+        for k in (1, 2, 3):
+            place = np.minimum(at + k, len(data) - 1)
+            going &= inner[place] & (at + k < len(data))
+            codes = np.where(going, codes << np.uint32(8) | data[place], codes)
+        places = np.searchsorted(at, offs)
+    codes[(codes >= 9) & (codes <= 13)] = 32
+    return codes, places
+
+
 def within(offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Per text the first and the end place where ``size`` bytes in a row can begin."""
     return offs[:-1], np.maximum(offs[1:] - size + 1, offs[:-1])
@@ -139,37 +156,58 @@ def span_sums(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nd
     return sums[np.minimum(ends, len(values))] - sums[np.minimum(begins, len(values))]
 
 
+def kept_spans(valid: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans' begins and ends once the places that are not valid have been taken out."""
+    before = np.concatenate([[0], np.cumsum(valid)])
+    return before[np.minimum(begins, len(valid))], before[np.minimum(ends, len(valid))]
+
+
+BAG_SQL = "label string, buckets binary, counts binary"
+_BAG = pa.schema([("label", pa.string()), ("buckets", pa.binary()), ("counts", pa.binary())])
+
+
+def bagged(parts):
+    """For ``mapInArrow`` over (label, text): the distinct buckets of each text and how often they occur, see ``BAG_SQL``.
+
+    ``parts(data, offs)``: (buckets, begins, ends) of the texts of a chunk, any number of times. However long a text is,
+    its bag has at most as many entries as there are buckets.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owns, counts = [], []
+            for _, data, offs in chunks(batch.column(1)):
+                found = parts(data, offs)
+                for i in range(len(offs) - 1):
+                    own, n = np.unique(np.concatenate([b[s[i] : max(s[i], e[i])] for b, s, e in found]), return_counts=True)
+                    owns.append(own.astype("<i4").tobytes())
+                    counts.append(np.minimum(n, 65535).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(owns, pa.binary()), pa.array(counts, pa.binary())], schema=_BAG)
+        returned_memory()
+
+    return scan
+
+
 class Bags:
-    """Distinct buckets of texts and how often they occur, packed in a few large arrays that memory returns from at once."""
-
-    def __init__(self, texts: pa.Array | pa.ChunkedArray, parts):
-        """``parts(data, offs)``: (buckets, begins, ends) of the texts of a chunk, any number of times."""
-        self.chunks: list[tuple[np.ndarray, np.ndarray]] = []
-        self.where: list[tuple[int, int, int]] = []
-        for _, data, offs in chunks(texts):
-            found = parts(data, offs)
-            owns, counts, at = [], [], 0
-            for i in range(len(offs) - 1):
-                own, n = np.unique(np.concatenate([b[s[i] : max(s[i], e[i])] for b, s, e in found]), return_counts=True)
-                owns.append(own.astype(np.int32))
-                counts.append(np.minimum(n, 65535).astype(np.uint16))
-                self.where.append((len(self.chunks), at, at + len(own)))
-                at += len(own)
-            self.chunks.append((np.concatenate(owns), np.concatenate(counts)))
+    """Bags of a table of ``BAG_SQL``, in its own few large buffers that memory returns from at once."""
+
+    def __init__(self, table: pa.Table):
+        self.rows: list[tuple[np.ndarray, np.ndarray]] = []
+        for buckets, counts in zip(table["buckets"].chunks, table["counts"].chunks, strict=True):
+            self.rows += [(np.frombuffer(b.as_buffer(), "<i4"), np.frombuffer(c.as_buffer(), "<u2")) for b, c in zip(buckets, counts, strict=True)]
 
     def __len__(self) -> int:
-        return len(self.where)
+        return len(self.rows)
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """(buckets, shares): the shares add up to 1 in a text that has any."""
-        chunk, begin, end = self.where[i]
-        own, counts = self.chunks[chunk]
-        n = counts[begin:end].astype(np.float32)
-        return own[begin:end], n / max(1.0, float(n.sum()))
+        own, counts = self.rows[i]
+        n = counts.astype(np.float32)
+        return own, n / max(1.0, float(n.sum()))
 
 
 def returned_memory() -> None:
-    """Gives freed memory back to the system, after work on a driver that has to stay small."""
+    """Gives freed memory back to the system, after work in a process that stays and has to stay small."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
