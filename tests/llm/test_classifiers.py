@@ -89,7 +89,7 @@ def test_language_margins_and_choice(monkeypatch, weight_bits):
 
 
 def test_samples_are_bounded_under_repeats(spark):
-    rows = [(None, "das haus", "de")] * 500 + [(7, "das haus und mehr", "de")] * 500 + [(i, f"the house {i}", "en") for i in range(300)]
+    rows = [(8, "das haus", "de")] * 500 + [(7, "das haus und mehr", "de")] * 500 + [(i, f"the house {i}", "en") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     seen = []
     fit = language_id.Hierarchy.fit
