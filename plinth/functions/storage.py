@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, a folder of our own, as in tests."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder of our own, which only a local master may have."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="plinth-shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plinth.functions.storage import written
 from plinth.functions.text import encode_for_uri
 from plinth.operators.motifs import LLM_IR, VECTOR_IR, Motif, match_iri
 from plinth.plans.vocabulary import DESCRIPTION, LABEL, TYPE, Vocabulary
@@ -48,7 +49,8 @@ INTERPRETATIONS = (LEAKAGE, CONFABULATION)
 def exposed(graph: Graph, most_hops: int = 2) -> DataFrame:
     """(s, hops): elements that are user-facing (0), or reach user-facing output over a generation step (1), with other steps before it (2 and more).
 
-    An element has a row for each number of hops it is exposed by; levels that find nothing add nothing.
+    An element has a row for each number of hops it is exposed by; levels that find nothing add nothing. Each level is
+    written, so that the plan does not nest one in the next.
     """
     facing = graph.with_role("UserFacingOutput")
     produced = graph.produce.select(F.col("s").alias("step"), F.col("o").alias("s"))
@@ -56,7 +58,7 @@ def exposed(graph: Graph, most_hops: int = 2) -> DataFrame:
     out = facing.withColumn("hops", F.lit(0))
     last = produced.join(facing, "s", "left_semi").select("step").join(graph.with_role("GenerationStep").withColumnRenamed("s", "step"), "step", "left_semi")
     for hops in range(1, most_hops + 1):
-        elements = used.join(last, "step", "left_semi").select("s").distinct()
+        elements = written(used.join(last, "step", "left_semi").select("s").distinct(), "exposed")
         out = out.unionByName(elements.withColumn("hops", F.lit(hops)))
         last = produced.join(elements, "s", "left_semi").select("step")
     return out

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plinth.functions.storage import shared_dir, written
 from plinth.functions.text import cache_key, encode_for_uri
 from plinth.operators import incidents, motifs, patterns, risk, taxonomy
 from plinth.operators.closure import Hierarchy, closure, closure_by_doubling
 from plinth.plans import graph_view as gv
 from plinth.plans.vocabulary import CATEGORY_EDGES, ROLE_EDGES, TYPE, Vocabulary
 from plinth.sources import graph as graphs
-from plinth.sources.reports import counts
+from plinth.sources import turtle
+from plinth.sources.reports import counts, read_reports, write_records
 
 V = Vocabulary()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,7 +111,7 @@ def _event_edges(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE edge AS (SELECT * FROM (SELECT event_id sub, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) super FROM events) WHERE super IS NOT NULL),
-walk(sub, super, hops) AS (SELECT sub, super, 1 FROM edge UNION SELECT w.sub, e.super, w.hops + 1 FROM walk w JOIN edge e ON e.sub = w.super WHERE w.hops < 3)
+walk(sub, super, hops) AS (SELECT sub, super, 1 FROM edge UNION SELECT w.sub, e.super, w.hops + 1 FROM walk w JOIN edge e ON e.sub = w.super)
 SELECT sub, super, CAST(hops AS BIGINT) AS hops FROM walk""")
 def inform_reachability(spark, sf_dir):
     return closure_by_doubling(_event_edges(spark, sf_dir)).withColumn("hops", F.col("hops").cast("long"))
@@ -150,8 +154,13 @@ def _bindings_sql(m: motifs.Motif, rows: str) -> str:
 BINDINGS_SQL = f"{MATCHED_SQL}, bound AS ({_bindings_sql(motifs.VECTOR_IR, 'vector')} UNION {_bindings_sql(motifs.LLM_IR, 'llm')})"
 
 
+def _graph(spark, sf_dir):
+    """The graph view with the relations that motifs and findings read again and again as written tables."""
+    return gv.graph_view(spark, sf_dir).written("use", "produce", "plays", "contains")
+
+
 def _matched(spark, sf_dir):
-    g = gv.graph_view(spark, sf_dir)
+    g = _graph(spark, sf_dir)
     return g, [(m, motifs.solutions(g, m)) for m in motifs.MOTIFS]
 
 
@@ -183,14 +192,14 @@ def evidence_subgraph(spark, sf_dir):
     return motifs.evidence_edges(g, x.unionByName(y))
 
 
-def _leakage(spark, sf_dir):
-    g = gv.graph_view(spark, sf_dir)
-    return risk.leakage(g, motifs.solutions(g, motifs.VECTOR_IR))
+def _leakage(spark, sf_dir, graph=None):
+    g = graph or _graph(spark, sf_dir)
+    return risk.leakage(g, written(motifs.solutions(g, motifs.VECTOR_IR), "solutions"))
 
 
-def _confabulation(spark, sf_dir):
-    g = gv.graph_view(spark, sf_dir)
-    return risk.confabulation(g, motifs.solutions(g, motifs.LLM_IR))
+def _confabulation(spark, sf_dir, graph=None):
+    g = graph or _graph(spark, sf_dir)
+    return risk.confabulation(g, written(motifs.solutions(g, motifs.LLM_IR), "solutions"))
 
 
 @query(f"{LEAKAGE_SQL} SELECT * FROM leak")
@@ -205,7 +214,7 @@ def finding_confabulation(spark, sf_dir):
 
 @query(f"{LEAKAGE_SQL} SELECT s, CAST(hops AS BIGINT) AS hops FROM exposed")
 def flow_exposure(spark, sf_dir):
-    return risk.exposed(gv.graph_view(spark, sf_dir)).distinct().withColumn("hops", F.col("hops").cast("long"))
+    return risk.exposed(_graph(spark, sf_dir)).distinct().withColumn("hops", F.col("hops").cast("long"))
 
 
 def _finding_triples_sql(i: risk.Interpretation, rows: str) -> str:
@@ -219,11 +228,13 @@ def _finding_triples_sql(i: risk.Interpretation, rows: str) -> str:
 
 @query(f"{CONFAB_SQL} {_finding_triples_sql(risk.LEAKAGE, 'leak')} UNION {_finding_triples_sql(risk.CONFABULATION, 'confab')}")
 def finding_triples(spark, sf_dir):
-    return risk.finding_triples(_leakage(spark, sf_dir), risk.LEAKAGE).unionByName(risk.finding_triples(_confabulation(spark, sf_dir), risk.CONFABULATION))
+    g = _graph(spark, sf_dir)
+    return risk.finding_triples(_leakage(spark, sf_dir, g), risk.LEAKAGE).unionByName(risk.finding_triples(_confabulation(spark, sf_dir, g), risk.CONFABULATION))
 
 
 def _records(spark, sf_dir):
-    return risk.finding_records(_leakage(spark, sf_dir), risk.LEAKAGE).unionByName(risk.finding_records(_confabulation(spark, sf_dir), risk.CONFABULATION))
+    g = _graph(spark, sf_dir)
+    return risk.finding_records(_leakage(spark, sf_dir, g), risk.LEAKAGE).unionByName(risk.finding_records(_confabulation(spark, sf_dir, g), risk.CONFABULATION))
 
 
 def _records_sql(i: risk.Interpretation, rows: str) -> str:
@@ -367,7 +378,7 @@ def cache_keys(spark, sf_dir):
     return _reports(spark, sf_dir).select("row_id", cache_key(F.lit("relevance"), F.col("report_id"), F.substring("full_text", 1, incidents.MOST_PROMPT_KEY)).alias("key"))
 
 
-@query("SELECT doc_id, url_encode(source || ' *~+/' || lang || ':' || substring(text, 1, 200)) AS encoded FROM documents")
+@query("SELECT doc_id, url_encode(source || ' *~+/' || lang || ':' || text) AS encoded FROM documents")
 def iri_encoding(spark, sf_dir):
     docs = gv.table(spark, sf_dir, "documents")
     return docs.select("doc_id", encode_for_uri(F.concat("source", F.lit(" *~+/"), "lang", F.lit(":"), "text")).alias("encoded"))
@@ -505,3 +516,94 @@ def graph_difference(spark, sf_dir):
 def group_rollup(spark, sf_dir):
     nations = gv.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("region"), F.col("n_name").alias("nation"))
     return gv.table(spark, sf_dir, "customer").select("c_nationkey").join(nations, "c_nationkey").rollup("region", "nation").agg(F.count(F.lit(1)).alias("n_customers")).withColumns({"region": F.coalesce(F.col("region").cast("string"), F.lit("all")), "nation": F.coalesce("nation", F.lit("all"))})
+
+
+#: The vector motif whose source also has to hold sensitive information.
+SENSITIVE_IR = replace(motifs.VECTOR_IR, name="SensitiveVectorMotif", nodes=tuple(replace(n, category="SensitiveInformation") if n.column == "source" else n for n in motifs.VECTOR_IR.nodes))
+
+
+@query(f"""{MATCHED_SQL}, sensitive AS (SELECT s FROM contains_edge k JOIN category_closure c ON c.sub = k.o AND c.super = 'SensitiveInformation')
+SELECT 'SensitiveVectorMotif' AS motif, step, query, source, result FROM vector WHERE source IN (SELECT s FROM sensitive)""")
+def motif_category_solutions(spark, sf_dir):
+    return motifs.solutions(_graph(spark, sf_dir), SENSITIVE_IR).select("motif", "step", "query", "source", "result")
+
+
+PART_SQL = """WITH RECURSIVE edge(sub, super) AS (SELECT DISTINCT 'p' || p_partkey, p_brand FROM part UNION SELECT DISTINCT 'p' || p_partkey, p_type FROM part UNION SELECT DISTINCT p_brand, p_type FROM part),
+walk(sub, super, hops) AS (SELECT sub, super, 1 FROM edge UNION SELECT w.sub, e.super, w.hops + 1 FROM walk w JOIN edge e ON e.sub = w.super)"""
+
+
+@query(f"{PART_SQL} SELECT sub, super, CAST(min(hops) AS BIGINT) AS hops FROM walk GROUP BY sub, super")
+def multi_parent_closure(spark, sf_dir):
+    """Parts under brands and types, brands under all types they come in: most nodes have several parents."""
+    part = gv.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("p"), "p_brand", "p_type")
+    edge = lambda a, b: part.select(F.col(a).alias("sub"), F.col(b).alias("super"))
+    return closure(edge("p", "p_brand").unionByName(edge("p", "p_type")).unionByName(edge("p_brand", "p_type")), reflexive=False).withColumn("hops", F.col("hops").cast("long"))
+
+
+@query(f"{PLACE_SQL} SELECT super AS s, sub AS o FROM walk")
+def contain_closure(spark, sf_dir):
+    """What a place contains at any depth: the transitive property ``contain`` as a path."""
+    contain = _places(spark, sf_dir).select(F.col("super").alias("s"), F.col("sub").alias("o"))
+    return patterns.Path("contain+", lambda name: contain).pairs()
+
+
+@query("SELECT DISTINCT 'step:' || conv_id || ':' || turn AS s, 'performedBy' AS p, 'model:' || (conv_id % 5) AS o FROM conversations WHERE role = 'assistant'")
+def performed_by(spark, sf_dir):
+    """The inverse of ``perform``, which leads from the model of an answer to its step."""
+    said = gv.table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    perform = said.select(F.concat(F.lit("model:"), (F.col("conv_id") % 5).cast("string")).alias("s"), F.concat_ws(":", F.lit("step"), "conv_id", "turn").alias("o"))
+    return graphs.inverse(perform).distinct().select("s", F.lit("performedBy").alias("p"), "o")
+
+
+@query(f"WITH {STUB_SQL} SELECT row_id, hint AND NOT failed AND k IN (0, 1, 2, 7) AS cached, row_id % 11 = 10 AND NOT (hint AND NOT failed AND k IN (0, 1, 2, 7)) AS failed FROM gate")
+def cache_probe(spark, sf_dir):
+    """All reports asked about with the answers on those with a hint in the cache already: unreadable answers are not kept."""
+    reports = _reports(spark, sf_dir)
+    first = incidents.ask(reports.filter(incidents.has_hint(LICENCE_HINTS)), "relevance", stub_client)
+    cache = written(incidents.cache_rows(first, "2024-01-01 00:00:00"), "stub-cache")
+    again = incidents.ask(reports, "relevance", stub_client, cache=cache)
+    return again.select("row_id", "cached", F.col("failure").isNotNull().alias("failed"))
+
+
+@query(f"""WITH {STUB_SQL} SELECT row_id, is_relevant, CASE WHEN is_relevant AND k = 0 THEN 'high' ELSE 'low' END AS confidence, CASE WHEN is_relevant AND k = 0 THEN 'news' ELSE 'unknown' END AS domain,
+  CASE WHEN is_relevant AND k = 1 THEN 'drift' ELSE 'unknown' END AS mechanism, CASE WHEN is_relevant AND k = 0 THEN 1 WHEN is_relevant AND k = 7 THEN 1 ELSE 0 END AS n_tasks FROM gate""")
+def extraction_filled(spark, sf_dir):
+    """All reports, with the defaults of a record where there is no extraction."""
+    found = incidents.extract(_gated(spark, sf_dir), stub_client, filled=True)
+    return found.select("row_id", "meta.is_relevant", "risk_assessment.confidence", "system_profile.domain", "risk_pattern.mechanism", F.size("system_profile.ai_task").alias("n_tasks"))
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""SELECT doc_id, nullif(replace(text, chr(13), ' '), '') AS text, count(*) OVER () - 1 AS last_row FROM documents""")
+def csv_scan(spark, sf_dir):
+    """Documents written as CSV and read as reports: quotes and line ends inside texts, and row numbers without a gap."""
+    path = _scratch(spark, "csv")
+    docs = gv.table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "\r", " ").alias("text"))
+    docs.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = read_reports(spark, path)
+    seen = rows.agg(F.max("row_id").alias("last_row"), F.count_distinct("row_id").alias("n"))
+    numbers = seen.select(F.when(F.col("n") == F.col("last_row") + 1, F.col("last_row")).alias("last_row"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").crossJoin(F.broadcast(numbers))
+
+
+@query(f"WITH {STUB_SQL} SELECT report_id, is_relevant, relevance_level, CASE WHEN matched_modes = '' THEN 0 ELSE len(string_split(matched_modes, '|')) END AS n_modes, NOT is_relevant AS bare FROM gate")
+def record_lines(spark, sf_dir):
+    """Records written as JSON lines and read again."""
+    path = _scratch(spark, "records")
+    write_records(incidents.extract(_gated(spark, sf_dir), stub_client), path)
+    back = spark.read.schema(incidents.RECORD_SQL.removeprefix("row_id long, ")).json(path)
+    return back.select("meta.report_id", "meta.is_relevant", "relevance_level", F.size("matched_modes").alias("n_modes"), F.col("system_profile.ai_task").isNull().alias("bare"))
+
+
+@query("SELECT 'http://example.org/doc/' || doc_id AS s, string_split(text, chr(10))[1] AS o, lang FROM documents WHERE text IS NOT NULL")
+def ntriples_scan(spark, sf_dir):
+    """Titles as labels with a language, written as N-Triples and read again."""
+    path = _scratch(spark, "ntriples")
+    docs = gv.table(spark, sf_dir, "documents").filter("text is not null")
+    plain = lambda c: F.lit(c).alias
+    labels = docs.select(F.concat(F.lit("http://example.org/doc/"), F.col("doc_id").cast("string")).alias("s"), plain("iri")("s_kind"), plain("http://www.w3.org/2000/01/rdf-schema#label")("p"), F.get(F.split("text", "\n"), F.lit(0)).alias("o"), plain("literal")("o_kind"), "lang", F.lit(None).cast("string").alias("dt"))
+    turtle.write_ntriples(labels, path)
+    return turtle.read_ntriples(spark, [path], "docs").select("s", "o", "lang")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.functions.storage import written
 from plinth.operators.closure import Hierarchy
 from plinth.plans.vocabulary import CATEGORY_EDGES, ROLE_EDGES, TYPE, Vocabulary
 
@@ -31,6 +32,10 @@ class Graph:
     role_base: str = ""
     class_base: str = ""
 
+    def written(self, *names: str) -> "Graph":
+        """The graph with these relations as written tables, each computed once, for plans that read them many times."""
+        return replace(self, **{name: written(getattr(self, name), f"graph-{name}") for name in names or ("use", "produce", "plays")})
+
     def with_role(self, role: str) -> DataFrame:
         """(s): elements that play ``role`` or one under it."""
         return self.plays.filter(self.roles.under(F.col("o"), self.role_base + role)).select("s").distinct()

@@ -169,8 +169,8 @@ def read_turtle(spark: SparkSession, paths: list[str], graph: str) -> DataFrame:
     return files.mapInPandas(parse, TRIPLES_SQL).dropDuplicates()
 
 
-def read_ntriples(spark: SparkSession, paths: list[str], graph: str) -> DataFrame:
-    """N-Triples by lines, so one large file is read in parallel; lines that are no statement are ignored."""
+def read_ntriples(spark: SparkSession, paths: list[str], graph: str, skip_bad: bool = False) -> DataFrame:
+    """N-Triples by lines, so one large file is read in parallel. A line that is no statement is an error unless told otherwise."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -180,8 +180,9 @@ def read_ntriples(spark: SparkSession, paths: list[str], graph: str) -> DataFram
                 if line and line[0] != "#":
                     try:
                         found += Parser(line, "n").parse()
-                    except ValueError:
-                        continue
+                    except ValueError as exc:
+                        if not skip_bad:
+                            raise ValueError(f"no statement: {line[:200]!r}") from exc
             yield pd.DataFrame([(graph, *t) for t in found], columns=["g", *TERMS])
 
     return spark.read.text(paths).mapInPandas(parse, TRIPLES_SQL).dropDuplicates()
