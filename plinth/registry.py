@@ -17,7 +17,7 @@ from plinth.plans import graph_view as gv
 from plinth.plans.vocabulary import CATEGORY_EDGES, ROLE_EDGES, TYPE, Vocabulary
 from plinth.sources import graph as graphs
 from plinth.sources import turtle
-from plinth.sources.reports import counts, read_reports, write_records
+from plinth.sources.reports import counts, read_reports, relevant_preview, write_records
 
 V = Vocabulary()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -573,6 +573,14 @@ def extraction_filled(spark, sf_dir):
     return found.select("row_id", "meta.is_relevant", "risk_assessment.confidence", "system_profile.domain", "risk_pattern.mechanism", F.size("system_profile.ai_task").alias("n_tasks"))
 
 
+@query(f"""WITH {STUB_SQL} SELECT report_id, CASE WHEN k = 0 THEN '' ELSE title END AS title, CASE k WHEN 0 THEN 'rank' WHEN 7 THEN 'search' ELSE '' END AS ai_task, 'unknown' AS risk_category, 'unknown' AS risk_type
+  FROM gate WHERE is_relevant ORDER BY row_id LIMIT 20""")
+def records_preview(spark, sf_dir):
+    """What a reader looks at first, of the first twenty relevant records."""
+    found = relevant_preview(incidents.extract(_gated(spark, sf_dir), stub_client))
+    return found.withColumn("ai_task", F.array_join("ai_task", "|"))
+
+
 def _scratch(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
