@@ -12,8 +12,9 @@ The index is dealt by token in packed blocks. Tokens of few sets give their pair
 one link to a leader each, the member that shares most with the others. Once links are verified and joined to
 components, only sets that still meet others of a different component are compared again: those outside a group's
 largest component in blocks against all, so groups of near copies never expand into all their pairs and no link
-between components is lost. Pairs are verified exactly on the whole sets. Nothing but bounded tables is collected or
-broadcast.
+between components is lost. Groups of so many blocks that a set would be copied more often than it has prefix tokens are
+compared token by token of a second prefix, over the tokens still open. Pairs are verified exactly on the whole sets.
+Nothing but bounded tables is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -24,15 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from plinth.llm import wordhash as wh
 from plinth.llm.common import settle, shuffle_width
 from plinth.llm.components import components
 
-#: log2 of the slots of the frequency table; parts of it that are merged apart; least total that counts as frequent.
-SLOT_BITS, SLOT_PARTS, FREQUENT = 22, 16, 12
+#: log2 of the slots of the frequency table; least total that counts as frequent.
+SLOT_BITS, FREQUENT = 22, 12
 #: Tokens of up to so many sets give all pairs at once; blocks are kept to about so many entries.
 SMALL, BLOCK_ENTRIES = 8, 600_000
+#: Tokens in a row of the counts.
+STATS_ROW = 1 << 16
 #: Tokens that a worker holds before it counts them or deals them out; they bound its memory.
 HELD_TO_COUNT, HELD_TO_DEAL = 3_000_000, 1_200_000
 #: Sets in one block of the late comparison.
@@ -45,6 +49,16 @@ CANDIDATE_COST, MOST_LONGER = 4.0, 8
 SPREAD_CLASS = 14
 
 
+def tidied(scan):
+    """``scan`` for ``mapInArrow``, giving back what it held once a partition is done: workers live on, and keep it else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from scan(batches)
+        wh.returned_memory()
+
+    return run
+
+
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text with fewer words has the whole sequence as its one shingle."""
     for _, data, offs in wh.chunks(texts):
@@ -101,8 +115,8 @@ def _enough(percent: int):
     return needed_matches(*(F.col(c) for c in ("n_a", "n_b", "l_a", "l_b")), percent, F.least, F.greatest, up)
 
 
-_STATS_SQL = "kind int, doc_id long, n long, key long, part int, tokens binary, counts binary"
-_STATS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
+_STATS_SQL = "kind int, doc_id long, n long, key long, tokens array<long>, counts array<int>"
+_STATS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
 _BLOCK_SQL = "block int, spread boolean, tokens binary, owners binary, sets binary"
 _BLOCK = pa.schema([("block", pa.int32()), ("spread", pa.bool_()), ("tokens", pa.binary()), ("owners", pa.binary()), ("sets", pa.binary())])
 _FOUND_SQL = "kind int, a long, b long, x long, y long"
@@ -120,11 +134,13 @@ def _stats(size: int):
             if not held:
                 return
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            tokens, counts = tokens[counts > 1], counts[counts > 1].astype("<u4")
-            cuts = np.searchsorted(tokens >> np.uint64(64 - 4), np.arange(SLOT_PARTS + 1, dtype=np.uint64))
-            out = [(1, None, None, None, p, tokens[cuts[p] : cuts[p + 1]].tobytes(), counts[cuts[p] : cuts[p + 1]].tobytes()) for p in range(SLOT_PARTS) if cuts[p + 1] > cuts[p]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _STATS, strict=True)], schema=_STATS)
+            held.clear()
+            tokens, counts = tokens[counts > 1].view(np.int64), counts[counts > 1].astype(np.int32)
+            for i in range(0, len(tokens), STATS_ROW):
+                row = pa.array([len(tokens[i : i + STATS_ROW])], pa.int32())
+                offsets = pa.concat_arrays([pa.array([0], pa.int32()), row])
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[i : i + STATS_ROW])) for x in (tokens, counts)]
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *[pa.nulls(1, pa.int64())] * 3, *lists], schema=_STATS)
 
         for batch in batches:
             ns, keys = [], []
@@ -140,32 +156,24 @@ def _stats(size: int):
                     yield from flush()
                     held, n_held, seen = [], 0, set()
             none = lambda kind: pa.nulls(len(ns), kind)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int32)), batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), none(pa.int32()), none(pa.binary()), none(pa.binary())], schema=_STATS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int32)), batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), none(_STATS.field("tokens").type), none(_STATS.field("counts").type)], schema=_STATS)
         yield from flush()
 
-    return scan
+    return tidied(scan)
 
 
 def frequency_table(stats: DataFrame) -> np.ndarray:
-    """Class of each slot: bit length of the largest total of a frequent token there, 0 for none. Of fixed size."""
-
-    def merge(table: pa.Table) -> pa.Table:
-        tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()]).astype(np.int64)
-        order = np.argsort(tokens, kind="stable")
-        begins = np.flatnonzero(np.concatenate([[True], np.diff(tokens[order]) != 0]))
-        totals, tokens = np.add.reduceat(counts[order], begins), tokens[order][begins]
-        often = totals >= FREQUENT
-        slots = ((tokens[often] >> np.uint64(64 - SLOT_BITS)) & np.uint64((1 << SLOT_BITS) // SLOT_PARTS - 1)).astype(np.int64)
-        classes = np.zeros((1 << SLOT_BITS) // SLOT_PARTS, np.uint8)
-        np.maximum.at(classes, slots, np.floor(np.log2(totals[often])).astype(np.uint8) + 1)
-        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "classes": pa.array([classes.tobytes()], pa.binary())})
-
-    found = stats.filter("kind = 1").select("part", "tokens", "counts").groupBy("part").applyInArrow(merge, "part int, classes binary").collect()
-    table = np.zeros((SLOT_PARTS, (1 << SLOT_BITS) // SLOT_PARTS), np.uint8)
-    for row in found:
-        table[row["part"]] = np.frombuffer(row["classes"], np.uint8)
-    return table.ravel()
+    """Class of each slot: bit length of the largest total of a frequent token there, 0 for none. Of fixed size.
+
+    Totals are summed by token on the map side first; at most one row a slot comes to the driver.
+    """
+    counted = stats.filter("kind = 1").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("n"))
+    slot = F.call_function("shiftrightunsigned", F.col("token"), F.lit(64 - SLOT_BITS)).cast("int")
+    often = counted.filter(F.col("n") >= FREQUENT).groupBy(slot.alias("slot")).agg(F.max("n").alias("n"))
+    found = often.select("slot", (F.floor(F.log2("n")) + 1).cast("byte").alias("class")).toArrow()
+    table = np.zeros(1 << SLOT_BITS, np.uint8)
+    table[found["slot"].to_numpy()] = found["class"].to_numpy()
+    return table
 
 
 def _index(size: int, percent: int, blocks: int, classes):
@@ -209,7 +217,7 @@ def _index(size: int, percent: int, blocks: int, classes):
                     seen, sets, tokens, owners, n_held = set(), [], [], [], 0
         yield from flush()
 
-    return scan
+    return tidied(scan)
 
 
 def _low(tokens: np.ndarray) -> bytes:
@@ -283,11 +291,12 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, p
     """
     spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    needed = settle(classes.join(ends, "key", "left_semi").select("doc_id", "key"), "needed")
+    needed = classes.join(ends, "key", "left_semi").select("doc_id", "key").persist(StorageLevel.DISK_ONLY)
     count = needed.count()
     bits = min(26, max(16, (16 * count).bit_length()))
     slot = _slots(F.col("doc_id"), bits)
     words = needed.select(F.call_function("div", slot, F.lit(32)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    needed.unpersist()
     bitmap = np.zeros(1 << (bits - 5), np.uint32)
     bitmap[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint32)
     shared = spark.sparkContext.broadcast(bitmap)
@@ -323,11 +332,11 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, p
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = docs.select("text", _slots(F.col("doc_id"), bits).alias("slot")).mapInArrow(load, "key long, tokens binary")
+    sets = docs.select("text", _slots(F.col("doc_id"), bits).alias("slot")).mapInArrow(tidied(load), "key long, tokens binary")
     sets = sets.join(ends, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"))
     first = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a")
     both = first.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidied(compare), "a long, b long")
 
 
 def _open_entries(entries: DataFrame, joined: DataFrame, info: DataFrame) -> DataFrame:
@@ -347,9 +356,15 @@ def _open_entries(entries: DataFrame, joined: DataFrame, info: DataFrame) -> Dat
 
 
 def _open_sets(open_entries: DataFrame, info: DataFrame) -> DataFrame:
-    """(key, tokens, g, n, l): sets with their open tokens; sets that meet over these, even at second hand, form a group g."""
+    """(key, tokens, least, g, n, l): sets with their open tokens, rare ones first, and the least l of a set they meet in one.
+
+    Sets that meet over these tokens, even at second hand, form a group g.
+    """
     groups = components(open_entries.select(F.col("first").alias("a"), F.col("key").alias("b")).distinct())
-    tokens = open_entries.groupBy("key").agg(F.collect_list("token").alias("tokens"))
+    known = open_entries.select("token", "key").join(info.select("key", "l"), "key")
+    met = known.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("l").alias("least"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("m", "token"))), lambda x: x["token"])
+    tokens = known.join(met, "token").groupBy("key").agg(ordered.alias("tokens"), F.min("least").alias("least"))
     return settle(tokens.join(groups.select(F.col("node").alias("key"), F.col("label").alias("g")), "key").join(info.select("key", "n", "l"), "key"), "open-sets")
 
 
@@ -357,13 +372,21 @@ def _late_pairs(sets: DataFrame, joined: DataFrame, percent: int, likeliest: int
     """(a, b): pairs of the open sets that share enough of the open tokens and are in different components.
 
     Of a group the sets outside its largest component are compared in blocks with each other and with blocks of the
-    largest one; two sets of that component never are.
+    largest one; two sets of that component never are. A group of more blocks than its sets have prefix tokens is compared
+    token by token instead: a pair shares at least the smaller l of the two, so many tokens that the rarest of them is
+    among the first h - min(l, least) + 1 of the h open tokens of either set. A set is thus copied about as often as it has
+    such tokens at most, and the blocks of a token are the sets that stand at it.
     With ``likeliest``, a set names in each comparison only so many partners, those that it shares most with.
     """
     sets = sets.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    sizes = sets.groupBy("g", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"))
-    sizes = sizes.select("g", F.col("top.label").alias("main"), F.ceil(F.col("top.m") / LATE_SETS).alias("mains"), F.ceil((F.col("all") - F.col("top.m")) / LATE_SETS).alias("rests")).filter("rests > 0")
-    dealt = sets.join(sizes, "g").withColumn("is_main", F.col("label") == F.col("main"))
+    prefix = F.slice("tokens", 1, F.greatest(F.lit(1), F.size("tokens") - F.least("l", "least").cast("int") + 1))
+    sets = sets.withColumn("prefix", prefix)
+    heavy = sets.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum(F.size("prefix")).alias("p")).filter(F.col("m") * F.col("m") > F.col("p") * LATE_SETS).select("g", F.lit(True).alias("by_token"))
+    unit = F.when(F.col("by_token"), F.col("prefix")).otherwise(F.array(F.lit(0).cast("long")))
+    sets = sets.join(heavy, "g", "left").select("g", F.explode(unit).alias("unit"), "key", "label", "n", "l", "tokens")
+    sizes = sets.groupBy("g", "unit", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("g", "unit").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"))
+    sizes = sizes.select("g", "unit", F.col("top.label").alias("main"), F.ceil(F.col("top.m") / LATE_SETS).alias("mains"), F.ceil((F.col("all") - F.col("top.m")) / LATE_SETS).alias("rests")).filter("rests > 0")
+    dealt = sets.join(sizes, ["g", "unit"]).withColumn("is_main", F.col("label") == F.col("main"))
     block = F.pmod(F.xxhash64("key"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests")))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     cell = lambda i, kind, j: F.struct(i.alias("i"), F.lit(kind).alias("kind"), j.alias("j"))
@@ -371,7 +394,7 @@ def _late_pairs(sets: DataFrame, joined: DataFrame, percent: int, likeliest: int
     against_main = F.transform(upto(F.col("mains")), lambda j: cell(own, "main", j))
     among_rest = F.transform(upto(F.col("rests")), lambda j: cell(F.least(own, j), "rest", F.greatest(own, j)))
     cells = F.when(F.col("is_main"), F.transform(upto(F.col("rests")), lambda i: cell(i, "main", own))).otherwise(F.concat(against_main, among_rest))
-    dealt = dealt.withColumn("block", block).select("g", F.explode(cells).alias("cell"), "key", "label", "n", "l", "tokens", "is_main")
+    dealt = dealt.withColumn("block", block).select("g", "unit", F.explode(cells).alias("cell"), "key", "label", "n", "l", "tokens", "is_main")
 
     def compare(table: pa.Table) -> pa.Table:
         keys, labels, n, l = (table[c].to_numpy() for c in ("key", "label", "n", "l"))
@@ -408,8 +431,8 @@ def _late_pairs(sets: DataFrame, joined: DataFrame, percent: int, likeliest: int
         return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
     # The rows are few and cost much, so they are spread over all tasks, which their size would not make Spark do.
-    spread = dealt.repartition(shuffle_width(dealt.sparkSession), "g", "cell")
-    return spread.groupBy("g", "cell").applyInArrow(compare, "a long, b long").distinct()
+    spread = dealt.repartition(shuffle_width(dealt.sparkSession), "g", "unit", "cell")
+    return spread.groupBy("g", "unit", "cell").applyInArrow(compare, "a long, b long").distinct()
 
 
 def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -417,11 +440,12 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Sets A and B link when 100 |A & B| >= percent |A | B|. Words are cut at ASCII white space and compared with A-Z in
     lower case. Null, empty and blank texts have no shingle and link with nothing: their component is their own
-    id. Exact copies link through their class; repeated rows are copies; null ids never name a component unless
-    it has no other; an empty table gives an empty result; extra columns are ignored.
+    id. Very long texts are compared whole. Exact copies link through their class; repeated rows are copies; ids are
+    64-bit integers, and what is no such number counts as null; null ids never name a component unless it has no other;
+    an empty table gives an empty result; extra columns are ignored.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     stats = settle(base.mapInArrow(_stats(size), _STATS_SQL), "shingle-sets")
     own = stats.filter("kind = 0").select("doc_id", "n", "key")
     filled = own.filter("n > 0")
