@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the
 columns of ``documents``; n_chars follows the text. The last returns packed pieces with their token ids.
+
+Nulls in any column, empty and very long texts, repeated rows and empty tables are what they are to each operator:
+a null or empty text has the score of a text without features, loses no line, is no copy of any other, is taken 0
+times by the mixture and thus goes there; rows without an id stay until then; an empty table gives empty results.
+Columns beyond those of ``documents`` are left out.
 """
 
 from __future__ import annotations
