@@ -12,16 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import let, settle, words
-
-
-def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[ \t-\r]+|[ \t-\r]+$", "")
+from plinth.llm.common import WHITE, let, settle, words
 
 
 def line_hash(line: Column) -> Column:
-    """128 bits of the trimmed line."""
-    return F.unhex(F.md5(trimmed(line)))
+    """128 bits of the line without white space at its ends."""
+    return F.unhex(F.md5(F.btrim(line, F.lit(WHITE))))
 
 
 def spread_lines(lines: DataFrame, *, min_sites: int, log2_registers: int = 12, band: float = 0.25) -> DataFrame:
@@ -57,7 +53,8 @@ def drop_spread_lines(
     words always stay. ``removed_out`` (long) counts the removed lines, null to leave it out. A null text stays
     null and loses 0 lines; an empty text stays empty; a null site is a site of its own; a document that
     consists of removed lines keeps an empty text; repeated rows are treated alike; an empty table gives an
-    empty result. Documents are matched on id and text hash, so neither has to be unique.
+    empty result. Documents are matched on id and text hash, so neither has to be unique. Very long lines and texts are
+    worked on whole, in time that grows with their length.
     """
     taken = {c.lower() for c in docs.columns} - {text_out.lower()}
     if removed_out and removed_out.lower() in taken:
