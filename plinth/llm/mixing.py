@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plinth.llm.common import count_words, settle, words
 
 #: Tokens to a shard, and the most shards a source is cut into.
-SHARD_TOKENS, MOST_SHARDS = 1 << 20, 8192
+SHARD_TOKENS, MOST_SHARDS = 1 << 18, 8192
 
 
 def cycled_weights(rank: Column, weights: tuple[float, ...]) -> Column:
@@ -27,7 +27,8 @@ def capped_shares(sizes: DataFrame, most_epochs: float) -> DataFrame:
     """Adds ``target`` to (source_size, weight): shares of the sum of sizes by weight, none above the cap.
 
     Sorted by cap to weight, the capped sources come first; what they leave is shared by the others. One row
-    per source, so the table is as small as the number of sources.
+    per source goes through one task, which sorts about ten million of them in the memory that a task has; sites as
+    sources of a crawl with more have to be grouped first.
     """
     cap = F.col("source_size") * F.lit(float(most_epochs))
     order = Window.orderBy(cap / F.col("weight"), "rank")
@@ -84,13 +85,17 @@ def mix_sources(
     ``taken`` counts the words that the mix takes from the document, repeats included; it is at most
     ``most_epochs`` times its size. Sources are ranked by code point, null last, and get the ``weights`` in turn.
     Null and empty texts have size 0 and are taken 0 times; a null id is a value like any other; repeated rows
-    are separate rows; an empty table gives an empty result. Order inside a shard: md5 of seed and id, then size.
+    are separate rows; very long texts are counted whole; an empty table gives an empty result. Order inside a shard: md5
+    of seed and id, or of the text where the id is null, then size, then a hash of the text and the ``carry`` columns but
+    for maps, so that only rows equal in all of these are interchangeable.
     """
+    hashed = [c for c in (text_col, *carry) if "map<" not in docs.schema[c].dataType.simpleString()]
     spread = F.conv(F.substring("_pl_mix", 1, 8), 16, 10).cast("long")
     def sized(columns: tuple[str, ...]) -> DataFrame:
         return docs.select(
             F.col(id_col).alias("_pl_id"), F.col(source_col).alias("_pl_src"), count_words(F.col(text_col)).alias("_pl_size"), F.struct(F.lit(0).alias("_pl_none"), *(F.col(c) for c in columns)).alias("_pl_carry"),
-            F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).alias("_pl_mix"),
+            F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))))).alias("_pl_mix"),
+            F.xxhash64(*hashed).alias("_pl_tie"),
         )
 
     # Counting words is what costs: it is done once, and once more only where texts are carried along.
@@ -110,7 +115,7 @@ def mix_sources(
     quotas = apportion(per_cell, ["rank"], ["_pl_shard"], "cell", "blocks", "quota")
     quotas = quotas.withColumn("wanted", F.least(F.col("quota") * block_tokens, F.col("cell") * most_epochs))
 
-    shard = Window.partitionBy("d._pl_src", "d._pl_shard").orderBy("_pl_mix", "_pl_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shard = Window.partitionBy("d._pl_src", "d._pl_shard").orderBy("_pl_mix", "_pl_size", "_pl_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = cut.alias("d").join(quotas.alias("q"), same("d", "q") & (F.col("d._pl_shard") == F.col("q._pl_shard")))
     rounds = F.when(F.col("cell") > 0, F.floor(F.col("wanted") / F.col("cell"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("wanted") - rounds * F.col("cell")

@@ -71,7 +71,7 @@ def source_mixing(weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, block:
     {out}_s AS (SELECT {group}, {tie}, count(*) AS {out} FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY q DESC, {tie}, k) AS place FROM {out}_q) WHERE place <= n GROUP BY {group}, {tie})"""
 
     return f"""
-WITH d AS (SELECT doc_id, source, CAST(len({_words("coalesce(text, '')")}) AS BIGINT) AS size, md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS mix FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len({_words("coalesce(text, '')")}) AS BIGINT) AS size, md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS mix FROM documents),
 tot AS (SELECT sum(size) AS n, least({mixing.MOST_SHARDS}, greatest(1, CAST(ceil(sum(size) / {float(mixing.SHARD_TOKENS)}) AS BIGINT))) AS shards FROM d),
 e AS (SELECT d.*, (CAST('0x' || substr(mix, 1, 8) AS BIGINT) + size) % shards AS shard FROM d, tot),
 s0 AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM e GROUP BY source),
