@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from plinth.llm.common import WHITE, count_chars, let, solid_chars, words
 
-#: What stands at the end of a complete line, and what separates entries of a menu or table.
-ENDINGS = ".!?…:;\"'”’»)]"
+#: What stands at the end of a complete line, in Latin, Greek, Cyrillic and Hebrew, Arabic, Indic, East and
+#: South-East Asian, Armenian, Ethiopic and Mongolian text; and what separates entries of a menu or table.
+ENDINGS = ".!?…:;\"'”’»)]" + "›“‘;·׃" + "؟۔؛" + "।॥෴" + "。！？：；｡．」』】》〉）" + "။៕៖๏๚๛" + "։՞՜" + "።፧፨፤" + "᠃᠉"
 SEPARATORS = "|»›·•"
 SYMBOLS = "#*$%&|<>"
 BOILERPLATE = (
@@ -25,11 +26,11 @@ BOILERPLATE = (
     "cookie policy", "uses cookies", "enable javascript", "subscribe to our newsletter", "click here", "sign up for",
     "skip to content", "powered by wordpress",
 )
-#: A boilerplate phrase condemns a line of at most so many characters; in longer prose it is a mention.
+#: Phrases of other languages go to ``clean_lines`` as its parameter. A boilerplate phrase condemns a line of at most so many characters; in longer prose it is a mention.
 BOILERPLATE_CHARS = 200
 
 
-def _judged(text: Column) -> Column:
+def _judged(text: Column, phrases: tuple[str, ...]) -> Column:
     """The rules on a line without white space at its ends; what they count is counted once."""
     spaces, marks = count_chars(text, " \t"), count_chars(text, SEPARATORS + SYMBOLS + "!")
 
@@ -41,14 +42,14 @@ def _judged(text: Column) -> Column:
 
     counts = F.struct(spaces.alias("spaces"), count_chars(text, SEPARATORS).alias("separators"), count_chars(text, SYMBOLS).alias("symbols"), count_chars(text, "!").alias("bangs"), solid_chars(text).alias("solid"))
     unfinished = ~F.lit(ENDINGS).contains(F.right(text, F.lit(1))) & (spaces >= 7)
-    named = F.when(F.length(text) > BOILERPLATE_CHARS, False).otherwise(let(F.lower(text), lambda low: reduce(or_, (low.contains(phrase) for phrase in BOILERPLATE))))
+    named = F.when(F.length(text) > BOILERPLATE_CHARS, False).otherwise(let(F.lower(text), lambda low: reduce(or_, (low.contains(phrase) for phrase in phrases), F.lit(False))))
     # Few lines have three marks at all, so few are counted mark by mark.
     return F.when(text == "", False).when(unfinished, True).when(marks >= 3, let(counts, marked) | named).otherwise(named)
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, phrases: tuple[str, ...] = BOILERPLATE) -> Column:
     """Whether a line with a word breaks a rule; lines without a word never do."""
-    return let(F.btrim(line, F.lit(WHITE)), _judged)
+    return let(F.btrim(line, F.lit(WHITE)), lambda text: _judged(text, phrases))
 
 
 def repeated_words(tokens: Column, window: int = 8) -> Column:
@@ -90,15 +91,16 @@ def clean_lines(
     least_words: int = 20,
     most_repeated_pct: int = 30,
     most_lost_pct: int = 50,
+    phrases: tuple[str, ...] = BOILERPLATE,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per document: id, cleaned_text, the base counts, lost_chars, base_failed, kept and the ``carry`` columns.
 
     ``kept`` is false where base_failed (fewer than ``least_words`` words, or more than ``most_repeated_pct`` in a
     hundred words in repeated 8-word windows) or where failing lines hold more than ``most_lost_pct`` in a hundred
-    of the characters outside white space. Null and empty texts have counts of 0 and fail; a null id passes
-    through; repeated rows are judged alike; an empty table gives an empty result; other columns only pass if
-    they are in ``carry``.
+    of the characters outside white space. ``phrases``, in lower case, mark short lines as boilerplate. Null and empty
+    texts have counts of 0 and fail; very long texts are judged whole, in their row; a null id passes through; repeated
+    rows are judged alike; an empty table gives an empty result; other columns only pass if they are in ``carry``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("_pl_id"), text.alias("_pl_text"), F.struct(F.lit(0).alias("_pl_none"), *(F.col(c) for c in carry)).alias("_pl_carry"))
@@ -109,7 +111,7 @@ def clean_lines(
         solid_chars(body).alias("word_chars"),
         count_chars(body, SYMBOLS).alias("n_symbols"),
         duplicate_lines(body).alias("n_dup_lines"),
-        F.array_join(F.filter(F.split(body, "\n"), lambda line: ~line_fails(line)), "\n").alias("cleaned_text"),
+        F.array_join(F.filter(F.split(body, "\n"), lambda line: ~line_fails(line, phrases)), "\n").alias("cleaned_text"),
     )
     n, again = F.col("_pl_words.n"), F.col("_pl_words.again")
     lost = F.col("word_chars") - solid_chars(F.col("cleaned_text"))
