@@ -180,8 +180,8 @@ def pack_documents(
 
     ``tokenizer`` is the path of the vocabulary file, which every worker must be able to read. Each document is its
     ids followed by ``end_id``. Null and empty texts are the end id alone; texts longer than a window fill windows of
-    their own first; repeated rows are packed each; a null id stays null; an empty table gives an empty result; other
-    columns are ignored. A sequence is padded by less than ``least_cut`` tokens, or not at all where its length is a
+    their own first; repeated rows are packed each; ids are 64-bit integers, and what is no such number counts as null; a
+    null id stays null; an empty table gives an empty result; other columns are ignored. A sequence is padded by less than ``least_cut`` tokens, or not at all where its length is a
     power of two. Documents are not moved: memory is a batch of texts and ``most_open`` windows a partition.
     """
 
@@ -207,7 +207,7 @@ def pack_documents(
         done = _merge(rows, window, least_cut, 1 << 62 | key[0].as_py() << 36)
         return pa.Table.from_batches([_batch(done, [None] * len(done))])
 
-    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, PIECE_SQL)
+    packed = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, PIECE_SQL)
     packed = settle(packed, "packed")
     merged = packed.filter("open_in is not null").groupBy("open_in").applyInArrow(merge, PIECE_SQL)
     return packed.filter("open_in is null").unionByName(merged).drop("open_in")
