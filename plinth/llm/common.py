@@ -45,11 +45,13 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """Folder that all executors share: spark.checkpoint.dir, or where it is unset one of our own, which only a local master may have."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="plinth-shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
@@ -78,6 +80,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint of a narrow table in the shared folder: like ``settle``, for rounds of a loop, with a file a partition and
+    none besides."""
+    context, folder = df.sparkSession.sparkContext, shared_dir(df.sparkSession)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def parts_for(total: int, each: int, least: int = 1) -> int:
     """Number of parts of about ``each`` units that ``total`` units need."""
     return max(least, math.ceil((total or 0) / each))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import settle
+from plinth.llm.common import cut
+
+#: Edges in a file of a round.
+ROWS = 10_000
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -15,11 +18,13 @@ def _smallest(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, label): the smallest node reachable from each node of the links (a, b); nodes without links are absent.
 
-    Each round is two joins on narrow rows whose large keys adaptive execution splits, and is written to the
+    Each round is two joins on narrow rows whose large keys adaptive execution splits, and is checkpointed in the
     shared folder; a round that leaves the edges as they were ends it. Loops and repeated links do no harm.
     If ``most_rounds`` is given and runs out before that, it is an error.
     """
-    edges = settle(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    # Rounds do not add edges, so small graphs need few files in each; the others keep the session's partitions.
+    width = max(1, -(-edges.count() // ROWS))
     mark, rounds = None, 0
     while True:
         if rounds == most_rounds:
@@ -29,7 +34,7 @@ def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
         large = both.join(_smallest(both), "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = _smallest(large)
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = settle(small.unionByName(low.filter("u <> m").select("u", F.col("m").alias("v"))).distinct(), "stars")
+        edges = cut(small.unionByName(low.filter("u <> m").select("u", F.col("m").alias("v"))).distinct().coalesce(width))
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if now == mark:
             break
