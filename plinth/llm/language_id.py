@@ -146,7 +146,7 @@ def _parts(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndar
     return [*parts, (words, first[:-1], first[1:])]
 
 
-def fit_languages(docs: DataFrame, *, rows_per_lang: int = 1500, most_rows: int = 30_000, most_langs: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
+def fit_languages(docs: DataFrame, *, rows_per_lang: int = 1500, most_rows: int = 12_000, most_langs: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
     """Learns every non-null language from at most ``rows_per_lang`` of its rows, drawn by hash outside the held-out third.
 
     All languages together get about ``most_rows`` rows, but at least 20 each. Equal rows of one id count once. A row has
