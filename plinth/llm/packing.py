@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +24,8 @@ from plinth.llm.common import settle
 
 #: Fixed value: how byte-level BPE of this kind splits text before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space in a row that tiktoken's pattern, which looks back over all of it, still takes within its stack, ten times over.
+LONG_SPACE = re.compile(r"(?<!\s)\s{100000}")
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open_in", pa.int64())])
 PIECE_SQL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open_in long"
 
@@ -39,7 +42,7 @@ def encoder(path: str):
     """Function from text to ids, equal to those of the tokenizer file with add_special_tokens=False.
 
     The vocabulary of a plain byte-level BPE file is run by tiktoken, which is several times faster; texts with an
-    added token's string, and files of any other make, go through tokenizers itself.
+    added token's string or a very long run of white space, and files of any other make, go through tokenizers itself.
     """
     from tokenizers import Tokenizer
 
@@ -60,7 +63,18 @@ def encoder(path: str):
     if places != sorted(places) or len(set(ranks)) < 256:  # ranks would not be the order of the merges
         return slow
     fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: slow(text) if any(a in text for a in added) else fast.encode_ordinary(text)
+
+    def encode(text: str):
+        if any(a in text for a in added) or LONG_SPACE.search(text):
+            return slow(text)
+        try:
+            return fast.encode_ordinary(text)
+        except (KeyboardInterrupt, SystemExit):
+            raise
+        except BaseException:  # a panic of the library is no Exception; a text that it cannot take has the same ids from tokenizers
+            return slow(text)
+
+    return encode
 
 
 class Packer:

@@ -67,6 +67,20 @@ def test_encoder_equals_the_tokenizer_on_all_characters():
         assert list(fast(text)) == want.ids
 
 
+@pytest.mark.parametrize("space", [" " * 1_000_000, "\n" * 2_000_000, " \n\t" * 700_000, " " * 99_999])
+def test_very_long_white_space_has_the_ids_of_the_tokenizer(space):
+    from tokenizers import Tokenizer
+
+    text = f"some words{space}and more"
+    assert list(packing.encoder(tokenizer_path())(text)) == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_takes_a_million_line_ends(spark):
+    docs = spark.createDataFrame([(1, "a" + "\n" * 1_200_000 + "b"), (2, "short"), (3, " " * 1_000_001)], "doc_id long, text string")
+    pieces = packing.pack_documents(docs, tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("of")).collect()
+    assert len(pieces) == 3 and all(r["n"] == r["of"] for r in pieces)
+
+
 def test_shared_results_need_a_shared_folder():
     class Session:
         conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: None)})
