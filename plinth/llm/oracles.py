@@ -101,6 +101,23 @@ reach(a, b) AS (SELECT rep, rep FROM c UNION SELECT r.a, e.b FROM reach r JOIN e
 comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.name = n.name LEFT JOIN comp ON comp.a = c.rep"""
 
+_terms = lambda x: f"regexp_extract_all(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_share = lambda n, whole: f"1 + CAST(1000000000 AS HUGEINT) * ({n} + 1) // ({whole})"
+SOURCE_DIVERGENCE = f"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_terms("coalesce(text, '')")} AS ts, row_number() OVER () AS r FROM documents),
+o AS (SELECT lang, source, r, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+cell AS (SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY lang, source, term),
+l AS (SELECT lang, count(*) AS v, sum(total) AS whole FROM kept GROUP BY lang),
+g AS (SELECT lang, source, coalesce(max(v), 0) AS v, coalesce(max(l.whole), 0) AS lang_whole, (SELECT coalesce(sum(n), 0) FROM cell c WHERE c.lang = x.lang AND c.source = x.source) AS whole
+  FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN l USING (lang) GROUP BY lang, source),
+dense AS (SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, {_share("coalesce(c.n, 0)", "g.whole + g.v")} AS p, {_share("total", "lang_whole + g.v")} AS q
+  FROM g JOIN kept USING (lang) LEFT JOIN cell c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((a.p - b.p) * (a.p - b.p) // b.p), 0) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every_pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+every_ AS (SELECT * FROM every_pair UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM dense WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every_) WHERE part = 'pair' OR rank <= 200"""
+
 ORACLES = {
     "op2_source_mixing": source_mixing(),
     "op3_repeated_windows": REPEATED_WINDOWS,
@@ -108,4 +125,5 @@ ORACLES = {
     "op6_line_first_rules": line_first_rules(),
     "op9_adaptive_prefix_join": ADAPTIVE_PREFIX_JOIN,
     "op10_content_sort": CONTENT_SORT,
+    "op11_source_divergence": SOURCE_DIVERGENCE,
 }

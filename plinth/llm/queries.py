@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, substring_dedup
+from plinth.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, source_divergence, substring_dedup
 from plinth.llm.oracles import ORACLES  # noqa: F401  registered with the queries
 
 
@@ -70,4 +70,8 @@ def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_feistel, op2_source_mixing, op3_repeated_windows, op4_line_spread, op5_bounded_packing, op6_line_first_rules, op7_subword_quality, op8_language_hierarchy, op9_adaptive_prefix_join, op10_content_sort)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_feistel, op2_source_mixing, op3_repeated_windows, op4_line_spread, op5_bounded_packing, op6_line_first_rules, op7_subword_quality, op8_language_hierarchy, op9_adaptive_prefix_join, op10_content_sort, op11_source_divergence)}
