@@ -25,6 +25,8 @@ from plinth.llm.common import settle
 SCALE, OFFSET, LARGEST = 64, 1_000_000, 2.0**52
 #: Entries of vectors that a task works on at a time.
 ENTRIES = 1 << 19
+#: Entries of the basis that the driver holds, and as many of its images, unless a few blocks need more.
+BASIS = 1 << 22
 #: Residual, as a share of the largest eigenvalue, at which a pair has converged; eigenvalues of a smaller share of the trace
 #: than LEAST are rounding, not variance.
 CLOSE, LEAST = 1e-14, 1e-11
@@ -117,12 +119,12 @@ def orthonormal(candidates: np.ndarray, basis: np.ndarray, scale: float, rng: np
 def leading_pairs(apply: Callable[[np.ndarray], np.ndarray], d: int, want: int, *, block: int = 16, most: int | None = None, close: float = CLOSE, most_passes: int = 500, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """The ``want`` largest eigenvalues, falling, and unit eigenvectors of the symmetric matrix that ``apply`` multiplies blocks by.
 
-    The basis has at most ``most`` directions, then it restarts with the best Ritz vectors. Pairs have converged when their
+    The basis has at most ``most`` directions, by default those of BASIS entries, then it restarts with the best Ritz vectors. Pairs have converged when their
     residuals are within ``close`` of the largest eigenvalue and, unless the basis spans all, a random block added then has
     found no larger eigenvalue that the space had missed. To run out of ``most_passes`` is an error.
     """
     rng, want = np.random.default_rng(seed), min(want, d)
-    most = min(d, max(most or 4 * want + 4 * block, want + 3 * block))
+    most = min(d, max(most or max(BASIS // d, 4 * (want + block)), want + 3 * block))
     basis, image, confirmed = np.zeros((d, 0)), np.zeros((d, 0)), None
     new, _ = orthonormal(rng.standard_normal((d, min(block, d))), basis, 1.0, rng)
     for _ in range(most_passes):
@@ -165,8 +167,8 @@ def whiten_embeddings(embeddings: DataFrame, *, id_col: str = "vec_id", vector_c
     different lengths, and entries beyond 2^46, which have no exact x, are an error. Components without variance, of less
     than 10^-11 of the trace, cannot be whitened and are absent, so equal vectors alone give no row. Null and repeated ids
     pass; repeated rows count each; equal eigenvalues share a space in which any basis is right; other columns are ignored.
-    A task holds ENTRIES entries and a block of directions; the driver at most ``4 * components + 4 * block`` directions
-    and their images, each of a vector's length.
+    A task holds ENTRIES entries and a block of directions; the driver BASIS entries of directions and as many of their
+    images, or ``4 * (components + block)`` of each where those are more.
     """
     id_type = embeddings.schema[id_col].dataType
     kept_type = StructType([StructField("_pl_id", id_type), StructField("x", ArrayType(LongType()))])
