@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, source_divergence, substring_dedup, whitening
+from plinth.llm import exact_dedup, fingerprints, language_id, line_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, source_divergence, substring_dedup, whitening
 from plinth.llm.oracles import ORACLES  # noqa: F401  registered with the queries
 
 
@@ -79,4 +79,9 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.col("deviation").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_feistel, op2_source_mixing, op3_repeated_windows, op4_line_spread, op5_bounded_packing, op6_line_first_rules, op7_subword_quality, op8_language_hierarchy, op9_adaptive_prefix_join, op10_content_sort, op11_source_divergence, op12_embedding_whitening)}
+def op13_lookup_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.fingerprint_edits(documents(spark, sf_dir))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_feistel, op2_source_mixing, op3_repeated_windows, op4_line_spread, op5_bounded_packing, op6_line_first_rules, op7_subword_quality, op8_language_hierarchy, op9_adaptive_prefix_join, op10_content_sort, op11_source_divergence, op12_embedding_whitening, op13_lookup_fingerprints)}
