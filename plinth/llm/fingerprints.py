@@ -32,8 +32,8 @@ CHECK_BITS = 16
 CHECK = (1 << CHECK_BITS) - 1
 LOWEST = -(1 << 63)
 LONGS = "array<bigint>"
-#: Digests that a partition of pairs is made for.
-PART_DIGESTS = 1 << 19
+#: Digests that a partition is made for, and failed tables that are broadcast at most, about 16 MB.
+PART_DIGESTS, MOST_SENT = 1 << 19, 1 << 18
 
 
 def _check(digest: Column) -> Column:
@@ -140,25 +140,28 @@ def _first_bits(digest: Column, bits: Column) -> Column:
     return F.when(bits == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", digest, (64 - bits).cast("int")))
 
 
-def _exploded(a: Column, b: Column) -> Column:
-    """Generator of (i, d) over both arrays, and one null digest, so that a pair without digests has a table too."""
-    return F.posexplode(F.concat(a, b, F.array(F.lit(None).cast("long"))))
+def differences(versions: DataFrame, base: str, others: tuple[str, ...], *, with_digests: bool = False) -> DataFrame:
+    """(row, kind, n_left, n_right, and with ``with_digests`` left, right): what only ``base`` and only the other of that kind has.
 
-
-def differences(pairs: DataFrame, *, with_digests: bool = False) -> DataFrame:
-    """(row, kind, n_left, n_right, and with ``with_digests`` left, right): of each pair (row, kind, a, b) of arrays of distinct digests, what only one side has.
-
-    Pairs are named by row and kind; an array that is empty is right, one that is null is an error of the caller. The first
-    attempt is one table a pair, the second is meant for pairs that share nothing, and what fails then is dealt into tables by
-    MORE_BITS bits more, until all of it has come out. Only pairs with a table that failed are read again.
+    ``base`` and ``others`` are columns of arrays of distinct digests, none of them null; ``row`` names a row of ``versions``
+    and ``kind`` is the place in ``others``. The first attempt is one table a pair, the second is meant for pairs that share
+    nothing, and what fails then is dealt into tables by MORE_BITS bits more, until all of it has come out. Rows are dealt once
+    an attempt; which of them failed is broadcast up to MOST_SENT tables, and joined where the rows are dealt beyond.
     """
-    spark, attempt, done = pairs.sparkSession, 0, []
-    width = max(shuffle_width(spark), parts_for(pairs.agg(F.sum(F.size("a") + F.size("b"))).first()[0] or 0, PART_DIGESTS))
-    open_ = pairs.withColumns({"bits": F.lit(0), "failed": F.array(F.lit(0).cast("long"))})
+    spark, attempt, done = versions.sparkSession, 0, []
+    held = versions.select("row", base, *others)
+    total = held.agg(F.sum(reduce(add, map(F.size, (base, *others))))).first()[0]
+    width = max(shuffle_width(spark), parts_for(total, PART_DIGESTS))
+    first = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(0).alias("bits"), F.lit(0).cast("long").alias("failed")) for k in range(len(others))))
+    open_ = held.repartition(width, "row").withColumn("open", first)
     while True:
+        of_kind = lambda k, other: F.struct(F.lit(k).alias("kind"), F.col(other).alias("b"), F.filter("open", lambda t: t["kind"] == k).alias("open"))
+        todo = open_.select("row", F.col(base).alias("a"), F.explode(F.array(*(of_kind(k, other) for k, other in enumerate(others)))).alias("t")).select("row", "a", "t.*").filter(F.size("open") > 0)
         wanted = F.ceil(F.log2((F.size("a") + F.size("b") + 1) / MEANT)).cast("int") if attempt == 1 else F.lit(MORE_BITS if attempt else 0)
-        to = F.greatest("bits", F.least(F.col("bits") + wanted, F.lit(64)))
-        dealt = open_.repartition(width, "row").select("row", "kind", "bits", "failed", to.alias("to"), F.size("a").alias("n_a"), _exploded(F.col("a"), F.col("b")).alias("i", "d"))
+        bits = F.get("open", F.lit(0))["bits"]
+        # One null digest goes with each pair, so that a pair without digests has a table too.
+        digest = F.posexplode(F.concat("a", "b", F.array(F.lit(None).cast("long"))))
+        dealt = todo.select("row", "kind", F.transform("open", lambda t: t["failed"]).alias("failed"), bits.alias("bits"), F.greatest(bits, F.least(bits + wanted, F.lit(64))).alias("to"), F.size("a").alias("n_a"), digest.alias("i", "d"))
         again = dealt.filter(F.col("d").isNull() | F.array_contains("failed", _first_bits(F.col("d"), F.col("bits")))) if attempt else dealt
         sign = F.when(F.col("i") < F.col("n_a"), 1).otherwise(-1).cast("long")
         entries = again.select("row", "kind", F.col("to").alias("bits"), F.coalesce(_first_bits(F.col("d"), F.col("to")), F.lit(-1).cast("long")).alias("first"), "d", sign.alias("sign"))
@@ -170,10 +173,12 @@ def differences(pairs: DataFrame, *, with_digests: bool = False) -> DataFrame:
         # What came out, a row a pair, and a row for each table that failed.
         whole = settle(found.groupBy("row", "kind", "bits", F.when(~ok, F.col("first")).alias("failed")).agg(*sums), f"differences-{attempt}")
         done.append(whole.drop("bits", "failed"))
-        left = whole.filter("failed is not null").groupBy("row", "kind", "bits").agg(F.collect_list("failed").alias("failed"))
-        if left.isEmpty():
+        failed = whole.filter("failed is not null")
+        if not (n_failed := failed.count()):
             break
-        open_, attempt = pairs.join(left, ["row", "kind"]), attempt + 1
+        by_row = failed.groupBy("row").agg(F.collect_list(F.struct("kind", "bits", "failed")).alias("open"))
+        open_ = held.join(F.broadcast(by_row), "row").repartition(width, "row") if n_failed <= MOST_SENT else held.repartition(width, "row").join(by_row.repartition(width, "row"), "row")
+        attempt += 1
     every = reduce(DataFrame.unionByName, done).groupBy("row", "kind")
     return every.agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"), *([F.flatten(F.collect_list(c)).alias(c) for c in ("left", "right")] if with_digests else []))
 
@@ -244,8 +249,7 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     versions = settle(versions, "fingerprint-digests")
 
     kinds = ("edited", "next")
-    pair = lambda k: F.struct(F.lit(k).alias("kind"), F.col("own").alias("a"), F.col(kinds[k]).alias("b"))
-    found = differences(versions.select("row", F.explode(F.array(pair(0), pair(1))).alias("p")).select("row", "p.*"))
+    found = differences(versions, "own", kinds)
     of = lambda kind, c: F.max(F.when(F.col("kind") == kinds.index(kind), F.col(c))).alias(f"{kind}_{c}")
     apart = found.groupBy("row").agg(*(of(kind, c) for kind in kinds for c in ("n_left", "n_right")))
 

@@ -77,21 +77,22 @@ def test_one_row_and_none(spark):
     assert fp.fingerprint_edits(spark.createDataFrame([], schema)).count() == 0
 
 
-@pytest.mark.parametrize("shared_bits", [0, 30])
-def test_differences_come_out_whole(spark, shared_bits):
+@pytest.mark.parametrize(("shared_bits", "sent"), [(0, 0), (30, 1 << 18)])
+def test_differences_come_out_whole(spark, monkeypatch, shared_bits, sent):
     """Digests that agree in their first bits fail at many sizes before they come out."""
     rng = random.Random(shared_bits)
     draw = lambda n: [(rng.getrandbits(64 - shared_bits) | (5 << (64 - shared_bits) if shared_bits else 0)) - (1 << 63) for _ in range(n)]
-    pairs = []
+    rows = []
     for row in range(12):
         both = draw(rng.randrange(200))
-        pairs.append((row, 0, both + draw(rng.choice([0, 1, 5, 300])), both + draw(rng.choice([0, 2, 40]))))
-    pairs += [(50, 1, [], []), (51, 1, [1 << 20], []), (52, 1, [], [1 << 20, 2 << 20])]
+        rows.append((row, both + draw(rng.choice([0, 1, 5, 300])), both + draw(rng.choice([0, 2, 40])), both[:3]))
+    rows += [(50, [], [], []), (51, [1 << 20], [], [1 << 20]), (52, [], [1 << 20, 2 << 20], [3 << 20])]
     digest = lambda c: F.array_distinct(F.transform(c, fp.checked)).alias(c)
-    table = spark.createDataFrame(pairs, "row long, kind int, a array<long>, b array<long>").select("row", "kind", digest("a"), digest("b")).persist()
-    want = {r["row"]: (sorted(set(r["a"]) - set(r["b"])), sorted(set(r["b"]) - set(r["a"]))) for r in table.collect()}
-    found = fp.differences(table, with_digests=True).collect()
-    assert {r["row"]: (sorted(r["left"]), sorted(r["right"])) for r in found} == want
+    table = spark.createDataFrame(rows, "row long, a array<long>, b array<long>, c array<long>").select("row", *map(digest, "abc")).persist()
+    want = {(r["row"], k): (sorted(set(r["a"]) - set(r[o])), sorted(set(r[o]) - set(r["a"]))) for r in table.collect() for k, o in enumerate("bc")}
+    monkeypatch.setattr(fp, "MOST_SENT", sent)
+    found = fp.differences(table, "a", ("b", "c"), with_digests=True).collect()
+    assert {(r["row"], r["kind"]): (sorted(r["left"]), sorted(r["right"])) for r in found} == want
     assert all((r["n_left"], r["n_right"]) == (len(r["left"]), len(r["right"])) for r in found)
     table.unpersist()
 
