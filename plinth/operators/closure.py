@@ -107,3 +107,25 @@ def closure_sql(spark: SparkSession, edges: DataFrame, most_hops: int = 50) -> D
             SELECT w.sub, e.super, concat(w.path, array(e.super)) FROM walk w JOIN _pl_edges e ON e.sub = w.super
             WHERE NOT array_contains(w.path, e.super) AND size(w.path) < {int(most_hops)})
         SELECT sub, super FROM walk UNION SELECT sub, sub FROM _pl_edges UNION SELECT super, super FROM _pl_edges""")
+
+
+def reach(edges: DataFrame, targets: DataFrame, *, most_hops: int | None = None) -> DataFrame:
+    """(s, hops): the nodes from which a target can be reached along the edges (sub, super), targets included, with the least number of hops.
+
+    Search from the targets only, all at once: a row a node, however many targets and ways there are, where ``closure``
+    has a row a pair. Each round extends what the last one found and is written, so cycles end it; there are as many rounds
+    as the farthest node has hops. Null ends and targets are ignored; a target without an edge reaches itself.
+    """
+    steps = written(edges.filter("sub is not null and super is not null and sub <> super").select("sub", "super").distinct(), "reach-edges")
+    seen = written(targets.select("s").filter("s is not null").distinct().withColumn("hops", F.lit(0)), "reach-targets")
+    last, hops = seen, 0
+    while most_hops is None or hops < most_hops:
+        hops += 1
+        step = steps.join(last.select(F.col("s").alias("super")), "super").select(F.col("sub").alias("s")).distinct()
+        last = written(step.join(seen, "s", "left_anti").withColumn("hops", F.lit(hops)), "reach-round")
+        if last.isEmpty():
+            break
+        seen = seen.unionByName(last)
+        if hops % 8 == 0:
+            seen = written(seen, "reach-seen")
+    return seen

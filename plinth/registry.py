@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from plinth.functions.storage import shared_dir, written
 from plinth.functions.text import cache_key, encode_for_uri
-from plinth.operators import incidents, motifs, patterns, risk, taxonomy
-from plinth.operators.closure import Hierarchy, closure, closure_by_doubling
+from plinth.operators import implementations, incidents, library, lifecycle, motifs, patterns, risk, taxonomy
+from plinth.operators.closure import Hierarchy, closure, closure_by_doubling, reach
 from plinth.plans import graph_view as gv
 from plinth.plans.vocabulary import CATEGORY_EDGES, ROLE_EDGES, TYPE, Vocabulary
 from plinth.sources import graph as graphs
@@ -74,14 +75,23 @@ confab AS (
   WHERE NOT EXISTS (SELECT 1 FROM use_edge u WHERE u.s = step AND u.o IN ({_with_role('KnowledgeSource')})))"""
 
 
-@query(f"WITH RECURSIVE {ROLE_SQL} SELECT sub, super FROM role_closure")
+@query(f"{BASE_SQL} SELECT sub, super, count(DISTINCT s) AS n_elements FROM plays JOIN (SELECT sub, super FROM role_closure UNION SELECT o, o FROM plays) ON sub = o GROUP BY sub, super")
 def role_closure(spark, sf_dir):
-    return Hierarchy(ROLE_EDGES).pairs(spark)
+    """The roles that elements play, with all above them and the number of their elements."""
+    g = gv.graph_view(spark, sf_dir)
+    return _counted(g.plays, implementations.reflexive(g.roles, g.plays))
 
 
-@query(f"WITH RECURSIVE {CATEGORY_SQL} SELECT sub, super FROM category_closure")
+@query(f"{BASE_SQL} SELECT sub, super, count(DISTINCT s) AS n_elements FROM contains_edge JOIN (SELECT sub, super FROM category_closure UNION SELECT o, o FROM contains_edge) ON sub = o GROUP BY sub, super")
 def category_closure(spark, sf_dir):
-    return Hierarchy(CATEGORY_EDGES).pairs(spark)
+    """The categories that stores hold, with all above them and the number of their stores."""
+    g = gv.graph_view(spark, sf_dir)
+    return _counted(g.contains, implementations.reflexive(g.categories, g.contains))
+
+
+def _counted(relation, closed):
+    held = relation.groupBy(F.col("o").alias("sub")).agg(F.count_distinct("s").alias("n_elements"))
+    return held.join(closed, "sub").select("sub", "super", "n_elements")
 
 
 def _places(spark, sf_dir):
@@ -585,13 +595,13 @@ def _scratch(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("""SELECT doc_id, nullif(replace(text, chr(13), ' '), '') AS text, count(*) OVER () - 1 AS last_row FROM documents""")
+@query("""SELECT doc_id, nullif(text, '') AS text, count(*) OVER () - 1 AS last_row FROM documents""")
 def csv_scan(spark, sf_dir):
-    """Documents written as CSV and read as reports: quotes and line ends inside texts, and row numbers without a gap."""
+    """Documents written as CSV and read as reports, by many tasks a file: quotes, line ends and carriage returns inside texts, and row numbers without a gap."""
     path = _scratch(spark, "csv")
-    docs = gv.table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "\r", " ").alias("text"))
+    docs = gv.table(spark, sf_dir, "documents").select("doc_id", "text")
     docs.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    rows = read_reports(spark, path)
+    rows = read_reports(spark, path, whole_files=False)
     seen = rows.agg(F.max("row_id").alias("last_row"), F.count_distinct("row_id").alias("n"))
     numbers = seen.select(F.when(F.col("n") == F.col("last_row") + 1, F.col("last_row")).alias("last_row"))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").crossJoin(F.broadcast(numbers))
@@ -606,12 +616,98 @@ def record_lines(spark, sf_dir):
     return back.select("meta.report_id", "meta.is_relevant", "relevance_level", F.size("matched_modes").alias("n_modes"), F.col("system_profile.ai_task").isNull().alias("bare"))
 
 
-@query("SELECT 'http://example.org/doc/' || doc_id AS s, string_split(text, chr(10))[1] AS o, lang FROM documents WHERE text IS NOT NULL")
+@query("SELECT 'http://example.org/doc/' || doc_id AS s, text AS o, lang FROM documents WHERE text IS NOT NULL")
 def ntriples_scan(spark, sf_dir):
-    """Titles as labels with a language, written as N-Triples and read again."""
+    """Whole texts as labels with a language, written as N-Triples and read again: line ends, quotes and backslashes are escapes there."""
     path = _scratch(spark, "ntriples")
     docs = gv.table(spark, sf_dir, "documents").filter("text is not null")
     plain = lambda c: F.lit(c).alias
-    labels = docs.select(F.concat(F.lit("http://example.org/doc/"), F.col("doc_id").cast("string")).alias("s"), plain("iri")("s_kind"), plain("http://www.w3.org/2000/01/rdf-schema#label")("p"), F.get(F.split("text", "\n"), F.lit(0)).alias("o"), plain("literal")("o_kind"), "lang", F.lit(None).cast("string").alias("dt"))
+    labels = docs.select(F.concat(F.lit("http://example.org/doc/"), F.col("doc_id").cast("string")).alias("s"), plain("iri")("s_kind"), plain("http://www.w3.org/2000/01/rdf-schema#label")("p"), F.col("text").alias("o"), plain("literal")("o_kind"), "lang", F.lit(None).cast("string").alias("dt"))
     turtle.write_ntriples(labels, path)
     return turtle.read_ntriples(spark, [path], "docs").select("s", "o", "lang")
+
+
+def _generated_motifs() -> tuple[motifs.Motif, ...]:
+    """A motif for each combination of roles around a step."""
+    asked = itertools.product(
+        ("RetrievalStep", "LLMBasedInformationRetrievalStep", "VectorBasedRetrievalStep", "GenerationStep"), ("UserInput", "RetrievedContext", "SystemPrompt"),
+        ("KnowledgeSource", "VectorStore", "Model"), ("UserFacingOutput", "RetrievedContext"),
+    )
+    node = lambda column, role, edge=None: motifs.Node(column, column, role, edge)
+    return tuple(motifs.Motif(f"M{i}", f"M{i}", f"-m{i}", (node("step", s), node("query", q, "use"), node("source", k, "use"), node("result", r, "produce"))) for i, (s, q, k, r) in enumerate(asked))
+
+
+LIBRARY = _generated_motifs()
+LIBRARY_SQL = f"""{BASE_SQL}, tag AS (SELECT p.s, c.super AS role FROM plays p JOIN role_closure c ON c.sub = p.o UNION SELECT s, o FROM plays),
+library(motif, step_role, query_role, source_role, result_role) AS (VALUES {", ".join(str((m.name, *(n.role for n in m.nodes))) for m in LIBRARY)})"""
+
+
+@query(f"""{LIBRARY_SQL} SELECT DISTINCT motif, a.s AS step, a.o AS query, b.o AS source, r.o AS result
+FROM library m JOIN tag st ON st.role = m.step_role JOIN use_edge a ON a.s = st.s JOIN tag qt ON qt.s = a.o AND qt.role = m.query_role
+  JOIN use_edge b ON b.s = st.s JOIN tag sr ON sr.s = b.o AND sr.role = m.source_role JOIN produce_edge r ON r.s = st.s JOIN tag rt ON rt.s = r.o AND rt.role = m.result_role""")
+def motif_library_solutions(spark, sf_dir):
+    """The solutions of 72 motifs in one plan, whose scans and joins are as many as for one."""
+    return library.library_solutions(_graph(spark, sf_dir), LIBRARY).select("motif", "step", "query", "source", "result")
+
+
+def _stored(spark, sf_dir):
+    """The graph, and the triples of its matches by the stored query that the graph declares for the motif."""
+    g = _graph(spark, sf_dir)
+    motif, implementation = V.pat(motifs.VECTOR_IR.name), V.pat("StoredMatches")
+    rows = [(motif, V.p("implementedBy"), implementation), (implementation, V.p("implementationLanguage"), implementations.LANGUAGE), (implementation, V.p("implementationPath"), "motif_matches.sql")]
+    return g, implementations.run_declared(g, spark.createDataFrame(rows, "s string, p string, o string"), motif)
+
+
+@query(ORACLES["motif_match_triples"])
+def stored_match_triples(spark, sf_dir):
+    """Match triples by a stored query text that is declared as the motif's implementation."""
+    return _stored(spark, sf_dir)[1]
+
+
+@query(ORACLES["finding_leakage"])
+def stored_leakage(spark, sf_dir):
+    """Leakage findings by a stored query text over the graph and the match triples of another."""
+    g, matches = _stored(spark, sf_dir)
+    text = implementations.stored_text(spark, "leakage_findings.sql")
+    found = implementations.run_text(g, text, matches=written(matches, "match-triples"))
+    return found.select("finding_iri", "match_iri", "step", "source", "result", "hops")
+
+
+@query(f"""{LEAKAGE_SQL}, flow(a, b) AS (SELECT DISTINCT o, s FROM use_edge UNION SELECT s, o FROM produce_edge),
+walk(s, hops) AS (SELECT s, 0 FROM facing UNION SELECT f.a, w.hops + 1 FROM walk w JOIN flow f ON f.b = w.s)
+SELECT s, CAST(min(hops) AS BIGINT) AS hops FROM walk GROUP BY s""")
+def output_reach(spark, sf_dir):
+    """Everything from which data flows into user-facing output, at any depth, with the fewest edges on the way."""
+    g = _graph(spark, sf_dir)
+    flow = graphs.inverse(g.use).unionByName(g.produce).toDF("sub", "super")
+    return reach(flow, g.with_role("UserFacingOutput")).withColumn("hops", F.col("hops").cast("long"))
+
+
+@query(f"""{LEAKAGE_SQL}, ways AS (SELECT DISTINCT finding_iri, source, result, unnest(string_split(hops, ',')) AS h FROM leak)
+SELECT finding_iri, CAST(least(round(1 - exp(sum(ln(1.0::DOUBLE - 0.8::DOUBLE / (CAST(h AS INT) + 1)))), 4), 0.9999) AS DOUBLE) AS confidence, count(*) AS n_ways FROM ways GROUP BY finding_iri""")
+def leakage_confidence(spark, sf_dir):
+    """Leakage findings with the confidence that their ways to users give."""
+    return lifecycle.leakage_confidence(_leakage(spark, sf_dir)).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+def _two_runs(spark, sf_dir):
+    """The state after a run without the conversations of every third model, reviews, and a run without those of every fourth step."""
+    leaks = written(_leakage(spark, sf_dir).select("finding_iri", "step").distinct(), "leaks")
+    number = F.split("step", ":")[1].cast("long")
+    first = lifecycle.merged(spark.createDataFrame([], lifecycle.STATE_SQL), leaks.filter(number % 3 > 0), "2024-01-01 00:00:00")
+    decisions = leaks.filter(number % 5 < 3).select("finding_iri", F.when(number % 5 == 0, "confirmed").when(number % 5 == 1, "rejected").otherwise("mitigated").alias("status"))
+    state, refused = lifecycle.reviewed(first, decisions, "2024-01-02 00:00:00")
+    return lifecycle.merged(state, leaks.filter(number % 4 > 0), "2024-01-03 00:00:00"), refused
+
+
+LIFE_SQL = f"""{LEAKAGE_SQL}, f AS (SELECT DISTINCT finding_iri, CAST(split_part(step, ':', 2) AS BIGINT) AS v FROM leak),
+one AS (SELECT *, v % 3 > 0 AS first_run, v % 4 > 0 AS second_run, CASE WHEN v % 3 > 0 THEN CASE v % 5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rejected' ELSE 'candidate' END END AS before FROM f),
+life AS (SELECT *, CASE WHEN second_run THEN coalesce(before, 'candidate') WHEN before IN ('rejected', 'mitigated') THEN before WHEN before IS NOT NULL THEN 'retired' END AS status FROM one WHERE first_run OR second_run)"""
+
+
+@query(f"""{LIFE_SQL} SELECT finding_iri, status, CAST(CAST(first_run AS INT) + CAST(second_run AS INT) AS BIGINT) AS runs, CASE WHEN first_run THEN '2024-01-01' ELSE '2024-01-03' END AS first_seen,
+  concat_ws('>', 'candidate', CASE WHEN before <> 'candidate' THEN before END, CASE WHEN status = 'retired' THEN status END) AS history FROM life""")
+def finding_lifecycle(spark, sf_dir):
+    """Findings over two runs with reviews in between: statuses are kept, what is no longer found is retired."""
+    state, _ = _two_runs(spark, sf_dir)
+    return state.select("finding_iri", "status", "runs", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"), F.array_join(F.transform("history", lambda h: h["status"]), ">").alias("history"))

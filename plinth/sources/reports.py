@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.operators.incidents import record_json, without_missing
+from plinth.sources.csv_records import read_csv_records
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text with missing-value tokens as null, and ``row_id``: the 0-based place of the row in the input."""
+def read_reports(spark: SparkSession, path: str, *, whole_files: bool = True) -> DataFrame:
+    """All columns as text with missing-value tokens as null, and ``row_id``: the 0-based place of the row in the input.
+
+    With ``whole_files`` each file is read by one task, in order; without, by as many as it has splits (``read_csv_records``).
+    """
+    if not whole_files:
+        return without_missing(read_csv_records(spark, path))
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"')
     return without_missing(numbered(raw))
 
