@@ -72,17 +72,43 @@ def counts(records: DataFrame) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("meta.is_relevant")).alias("n_relevant"))
 
 
+#: Characters of a key that name its folder: 256 of them a stage.
+PREFIX = 2
+
+
 def append_cache(answers: DataFrame, path: str, at: str, keep_failures: bool = False) -> None:
     """Adds new answers to the cache; the newest of a key counts when it is read, so a batch run twice does no harm."""
     from plinth.operators.incidents import cache_rows
 
-    cache_rows(answers, at, keep_failures).write.mode("append").partitionBy("stage").parquet(path)
+    write_cache(cache_rows(answers, at, keep_failures), path, "append")
+
 
+def write_cache(rows: DataFrame, path: str, mode: str = "error") -> None:
+    """Cache rows (stage, key, value, ts), a folder for each stage and first characters of the key."""
+    rows.withColumn("prefix", F.substring("key", 1, PREFIX)).write.mode(mode).partitionBy("stage", "prefix").parquet(path)
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache (stage, key, value, ts); a path that does not exist yet is an empty one."""
-    schema = "stage string, key string, value string, ts timestamp"
+
+def read_cache(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
+    """The cache (stage, key, value, ts); a path that does not exist yet is an empty one.
+
+    With ``keys`` (key), only the folders that hold one of them are read: their names, 256 at most, go through the driver.
+    """
+    schema = "stage string, key string, value string, ts timestamp, prefix string"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).select("stage", "key", "value", "ts")
+        return spark.createDataFrame([], schema).drop("prefix")
+    cache = spark.read.schema(schema).parquet(path)
+    if keys is not None:
+        wanted = [r["p"] for r in keys.select(F.substring("key", 1, PREFIX).alias("p")).filter("p is not null").distinct().limit(16**PREFIX + 1).collect()]
+        # Keys are hexadecimal; other ones, of a cache of another make, are looked for everywhere.
+        if len(wanted) <= 16**PREFIX:
+            cache = cache.filter(F.col("prefix").isin(wanted))
+    return cache.select("stage", "key", "value", "ts")
+
+
+def compact_cache(spark: SparkSession, path: str, out: str) -> None:
+    """The newest value of each key of the cache at ``path``, as a new cache at ``out``, a file a folder."""
+    from plinth.operators.incidents import latest
+
+    kept = latest(read_cache(spark, path)).withColumn("_pl_prefix", F.substring("key", 1, PREFIX))
+    write_cache(kept.repartition("stage", "_pl_prefix").drop("_pl_prefix"), out)
