@@ -10,6 +10,7 @@ from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plinth import registry
+from plinth.functions.progress import Progress
 from plinth.operators import incidents, motifs, risk
 from plinth.plans.settings import Settings
 from plinth.plans.vocabulary import Vocabulary
@@ -54,10 +55,12 @@ def _extract(spark: SparkSession, args: argparse.Namespace) -> None:
     client = Settings(args.endpoint or own.endpoint, args.model or own.model).client()
     reports = incidents.limited(incidents.normalised(report_io.read_reports(spark, args.reports)), most)
     seen = Observation("records")
-    records = incidents.extract(incidents.relevance_gate(reports, client), client)
+    progress = Progress(spark, "model calls")
+    records = incidents.extract(incidents.relevance_gate(reports, client, counters=progress.counters), client, counters=progress.counters)
     failed = F.coalesce(F.col("meta.relevance_reason"), F.lit("")).startswith(incidents.FAILED)
     log.info("extracting at most %s reports of %s", most or "all", args.reports)
-    report_io.write_records(records.observe(seen, F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("meta.is_relevant")).alias("n_relevant"), F.count_if(failed).alias("n_failed")), args.out)
+    with progress:
+        report_io.write_records(records.observe(seen, F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("meta.is_relevant")).alias("n_relevant"), F.count_if(failed).alias("n_failed")), args.out)
     log.info("wrote %s: %s", args.out, seen.get)
 
 

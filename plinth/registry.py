@@ -19,6 +19,7 @@ from plinth.plans.vocabulary import CATEGORY_EDGES, ROLE_EDGES, TYPE, Vocabulary
 from plinth.sources import graph as graphs
 from plinth.sources import turtle
 from plinth.sources.reports import counts, read_reports, relevant_preview, write_records
+from plinth.streaming import reports as streaming
 
 V = Vocabulary()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -711,3 +712,43 @@ def finding_lifecycle(spark, sf_dir):
     """Findings over two runs with reviews in between: statuses are kept, what is no longer found is retired."""
     state, _ = _two_runs(spark, sf_dir)
     return state.select("finding_iri", "status", "runs", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"), F.array_join(F.transform("history", lambda h: h["status"]), ">").alias("history"))
+
+
+@query("""WITH d AS (SELECT 'http://example.org/doc/' || doc_id AS s, * FROM documents)
+SELECT s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://example.org/Document' AS o, NULL AS lang, NULL AS dt FROM d
+UNION ALL SELECT s, 'http://example.org/body', text, lang, NULL FROM d WHERE text IS NOT NULL
+UNION ALL SELECT s, 'http://example.org/start', substring(text, 1, 40), NULL, NULL FROM d WHERE text IS NOT NULL
+UNION ALL SELECT s, 'http://example.org/source', 'http://example.org/source/' || source, NULL, NULL FROM d WHERE source IS NOT NULL
+UNION ALL SELECT s, 'http://example.org/size', CAST(length(text) AS VARCHAR), NULL, 'http://www.w3.org/2001/XMLSchema#integer' FROM d WHERE text IS NOT NULL
+UNION ALL SELECT s, 'http://example.org/size', CAST(length(text) AS VARCHAR) || '.5', NULL, 'http://www.w3.org/2001/XMLSchema#decimal' FROM d WHERE text IS NOT NULL
+UNION ALL SELECT s, 'http://example.org/long', CASE WHEN length(text) > 1000 THEN 'true' ELSE 'false' END, NULL, 'http://www.w3.org/2001/XMLSchema#boolean' FROM d WHERE text IS NOT NULL
+UNION ALL SELECT s, 'http://example.org/seen', '2024-01-01', NULL, 'http://www.w3.org/2001/XMLSchema#date' FROM d""")
+def turtle_scan(spark, sf_dir):
+    """Documents as Turtle, one document of it each, and its triples: long and short strings, languages, numbers, truth values, typed literals, lists of objects."""
+    docs = gv.table(spark, sf_dir, "documents")
+    escaped = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    long_form = F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    size = F.length("text").cast("string")
+    parts = [
+        F.lit("@prefix : <http://example.org/> .\n@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .\n# a document\n"), F.concat(F.lit("<http://example.org/doc/"), F.col("doc_id").cast("string"), F.lit("> a :Document")),
+        F.when(F.col("text").isNotNull(), F.concat(F.lit(';\n  :body """'), long_form, F.lit('"""'), F.coalesce(F.concat(F.lit("@"), "lang"), F.lit("")))),
+        F.when(F.col("text").isNotNull(), F.concat(F.lit(' ; :start "'), escaped(F.substring("text", 1, 40)), F.lit('" ; :size '), size, F.lit(", "), size, F.lit(".5 ; :long "), (F.length("text") > 1000).cast("string"))),
+        F.when(F.col("source").isNotNull(), F.concat(F.lit(" ; :source <http://example.org/source/"), "source", F.lit(">"))), F.lit(' ; :seen "2024-01-01"^^xsd:date .\n'),
+    ]
+    written_as = docs.select(F.concat_ws("", *parts).alias("value"), F.col("doc_id").alias("file"))
+    return turtle.document_triples(written_as, "docs").select("s", "p", "o", "lang", "dt")
+
+
+@query(f"WITH {STUB_SQL} SELECT report_id, is_relevant, relevance_level, CASE WHEN is_relevant AND k = 0 THEN 'news' WHEN is_relevant THEN 'unknown' END AS domain FROM gate")
+def stream_intake(spark, sf_dir):
+    """Reports that arrive as files, half of them before a restart of the stream and some of those again after it: each is answered once."""
+    source, out, checkpoint = (_scratch(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
+    raw = gv.raw_reports(spark, sf_dir).drop("row_id")
+    number = F.col("report_id").cast("long")
+    schema = raw.schema
+    for arrived in (raw.filter(number % 2 == 0), raw.filter((number % 2 == 1) | (number % 10 == 0))):
+        arrived.write.mode("append").json(source)
+        reports = streaming.report_stream(spark, source, schema)
+        streaming.run_stream(reports, stub_client, out, checkpoint, terms=LICENCE_HINTS).awaitTermination()
+    records = spark.read.schema(incidents.RECORD_SQL).parquet(f"{out}/batch=*")
+    return records.select("meta.report_id", "meta.is_relevant", "relevance_level", "system_profile.domain")

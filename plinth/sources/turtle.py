@@ -156,17 +156,28 @@ class Parser:
         return self.out
 
 
+class TurtleTriples:
+    """Table function: the triples of one Turtle document, whose blank nodes are named within ``scope``; a null document has none."""
+
+    def eval(self, text: str, scope: str):
+        if text is not None:
+            yield from Parser(text, f"f{scope}-").parse()
+
+
+def document_triples(documents: DataFrame, graph: str, text_col: str = "value", scope_col: str = "file") -> DataFrame:
+    """The triples of documents, a row each, as a lateral join with a table function; other columns of theirs are left out.
+
+    A document that is no Turtle is an error, with the line. Triples that several documents state are one.
+    """
+    triples = F.udtf(TurtleTriples, returnType=TRIPLES_SQL.removeprefix("g string, "))
+    found = documents.select(F.col(text_col).alias("_pl_text"), F.col(scope_col).cast("string").alias("_pl_scope")).lateralJoin(triples(F.col("_pl_text").outer(), F.col("_pl_scope").outer()))
+    return found.select(F.lit(graph).alias("g"), *TERMS).dropDuplicates()
+
+
 def read_turtle(spark: SparkSession, paths: list[str], graph: str) -> DataFrame:
     """Triples of whole files, parsed where they are read; files are never followed to others they import."""
     files = spark.read.text(paths, wholetext=True).select(F.col("value"), F.substring(F.md5(F.input_file_name()), 1, 8).alias("file"))
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for text, file in zip(rows["value"], rows["file"], strict=True):
-                found = Parser(text, f"f{file}-").parse()
-                yield pd.DataFrame([(graph, *t) for t in found], columns=["g", *TERMS])
-
-    return files.mapInPandas(parse, TRIPLES_SQL).dropDuplicates()
+    return document_triples(files, graph)
 
 
 def read_ntriples(spark: SparkSession, paths: list[str], graph: str, skip_bad: bool = False) -> DataFrame:

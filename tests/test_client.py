@@ -125,3 +125,26 @@ def test_fences_take_no_longer_than_their_text():
 def test_an_object_that_no_fence_ends_is_none(text):
     with pytest.raises(ValueError, match="fenced"):
         incidents.fenced(text)
+
+
+def test_progress_is_logged_while_a_stage_runs(spark, server, caplog):
+    from plinth.functions.progress import Progress
+
+    at, seen = server
+    seen["wait"] = 0.1
+    raw = spark.createDataFrame([(i, f"r{i}", f"text {i}") for i in range(40)], "row_id long, report_id string, text string").repartition(8)
+
+    def client():
+        inner = incidents.http_client(at, "m")
+
+        def call(prompt, stage, report_id):
+            if report_id == "r7":
+                raise RuntimeError("no")
+            return inner(prompt, stage, report_id)
+
+        return call
+
+    with caplog.at_level("INFO", logger="plinth.functions.progress"), Progress(spark, "answers", 40, every=0.2) as progress:
+        incidents.ask(incidents.normalised(raw), "relevance", client, counters=progress.counters).write.format("noop").mode("overwrite").save()
+    lines = [r.getMessage() for r in caplog.records]
+    assert lines[-1].startswith("[40/40] answers, 1 failed") and len(lines) >= 2
