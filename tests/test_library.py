@@ -88,13 +88,14 @@ def test_reach_ends_on_cycles_and_takes_the_shortest_way(spark):
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_csv_is_read_by_many_tasks_a_file(spark, tmp_path, seed):
-    rng, want = random.Random(seed), []
+    rng, want, tmp_path = random.Random(seed), [], tmp_path / "a b é"
+    tmp_path.mkdir()
     for f in range(3):
         pieces = ["a", '"', "\n", "\r", ",", " ", "é漢", "x y", "\r\n", '""', "\n\n\n"]
         own = [[str(len(want) + i), "".join(rng.choices(pieces, k=rng.randrange(1, 80))), rng.choice(["", "z", " w "])] for i in range(70)]
         with open(tmp_path / f"p{f}.csv", "w", newline="", encoding="utf8") as out:
             w = csv.writer(out, lineterminator=rng.choice(["\n", "\r\n"]))
-            w.writerow(["id", "a `b`", "k"])
+            w.writerow(["id", "a `b`", "k"] + ["x" * 2000] * (f == 1))
             w.writerows(own[:30])
             out.write("\n \n")
             w.writerows(own[30:])
