@@ -140,9 +140,9 @@ def _ids(table: pa.Table) -> np.ndarray:
 
 
 def _split(docs: DataFrame) -> list[Column]:
-    """What tells the input splits apart, so that repeated rows of different ones are dealt apart; a task that runs again
-    finds the same. Nothing where several files meet in a row."""
-    split = [F.input_file_name(), F.input_file_block_start()]
+    """What tells rows of files apart, so that repeated ones are dealt apart; a task that runs again finds the same, as it
+    reads the same rows in the same order. Nothing where several files meet in a row."""
+    split = [F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id()]
     try:
         docs.select(*split)
     except AnalysisException:

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.llm import common, exact_dedup, line_dedup, mixing, packing, quality_rules
+from plinth.llm import common, exact_dedup, line_dedup, mixing, packing, quality_rules, substring_dedup
 from plinth.llm.queries import tokenizer_path
 
 
@@ -88,3 +88,17 @@ def test_shared_results_need_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         common.shared_dir(Session())
+
+
+def test_repeated_rows_of_one_file_are_dealt_apart(spark, tmp_path):
+    """A third of all rows may be one row: no part holds more of them than its share."""
+    rng = random.Random(1)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    rows = [(7, text)] * 4000 + [(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(40))) for i in range(10, 2010)] + [(9, text)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    parts = docs.groupBy(F.pmod(F.xxhash64("doc_id", "text", *substring_dedup._split(docs)), F.lit(16)).alias("p")).count().collect()
+    assert len(parts) == 16 and max(r["count"] for r in parts) < 1.3 * len(rows) / 16
+    out = substring_dedup.dedup_substrings(docs, part_bytes=1 << 14, most_part_bytes=1 << 16)
+    kept = {(r["doc_id"], r["n_removed"]): r["n"] for r in out.filter("doc_id < 10").groupBy("doc_id", "n_removed").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert kept == {(7, 0): 4000, (9, 60): 1}
