@@ -5,7 +5,6 @@ import importlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from plinth.llm.queries import QUERIES, documents
 from tests.llm.test_native import WORD, wanted
@@ -102,13 +101,20 @@ def test_stages_take_nulls_and_repeats(spark, sf):
     pipeline = importlib.import_module("corpus_pipeline")
     rows = [(1, "Some words in a row here. And more of them.", "en", "a", 1), (1, "Some words in a row here. And more of them.", "en", "a", 1), (None, None, None, None, None), (3, "", None, "a", 0), (None, "x y z", "en", None, 5)]
     docs = spark.createDataFrame(rows, documents(spark, sf).schema)
-    for _, stage in pipeline.STAGES:
-        assert stage(spark, docs, sf).count() >= 0
+    quality, lines, near, mixed, packed = (stage(spark, docs, sf).collect() for _, stage in pipeline.STAGES)
+    given = {tuple(r) for r in rows}
+    assert {tuple(r) for r in quality} <= given
+    # n_chars follows the text from the line stage on.
+    sized = sorted([(i, t, None if t is None else len(t)) for i, t, *_ in rows], key=str)
+    assert sorted([(r["doc_id"], r["text"], r["n_chars"]) for r in lines], key=str) == sized
+    assert sorted([r["doc_id"] for r in near], key=str) == [1, 3, None, None]
+    assert mixed and all(r["text"] and set(r["text"].split()) <= {w for x in rows for w in (x[1] or "").split()} for r in mixed)
+    assert sum(r["start"] == 0 for r in packed) == len(rows) and sum(r["length"] for r in packed) == sum(r["doc_tokens"] for r in packed if r["start"] == 0)
 
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_every_query_runs_without_a_limit(spark, sf, name):
-    n = documents(spark, sf).count()
-    got = QUERIES[name](spark, sf)
-    assert "doc_id" in got.columns and got.select("doc_id").distinct().count() == n
-    assert F.col("doc_id") is not None
+    got, docs = QUERIES[name](spark, sf), documents(spark, sf)
+    # What the rows are about: sources, vectors, or documents, all of them.
+    keys, whole = {"op11_source_divergence": (["lang", "source"], docs), "op12_embedding_whitening": (["vec_id"], spark.read.parquet(f"{sf}/embeddings.parquet"))}.get(name, (["doc_id"], docs))
+    assert got.select(*keys).distinct().count() == whole.select(*keys).distinct().count()
