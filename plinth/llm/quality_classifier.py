@@ -2,9 +2,9 @@
 
 Words, pairs of words in a row, and character n-grams of words with their borders are hashed to learned vectors; a
 document is the average of its vectors, and a softmax layer judges it. Training is plain stochastic gradient descent in
-numpy on the driver, over the hashed features of a bounded sample of labelled rows, which executors make. Since the layer
-is linear in an average, scoring folds it into one number a bucket: executors look numbers up and average them, batch by
-batch, over every whole text.
+numpy, in one task over the hashed features of a bounded sample of labelled rows. Since the layer is linear in an average,
+scoring folds it into one number a bucket, which is all that the driver gets: executors look numbers up and average them,
+batch by batch, over every whole text.
 """
 
 from __future__ import annotations
@@ -109,11 +109,12 @@ def held_out(doc_id: Column, parts: int = 5, part: int = 0) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % parts == part
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, shape: Shape, *, label_col: str, most_rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[wh.Bags, np.ndarray]:
-    """Features and labels of at most ``most_rows`` labelled ids outside the held-out part, drawn by hash.
+def labelled_bags(docs: DataFrame, labels: DataFrame, shape: Shape, *, label_col: str, most_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``wh.BAG_SQL``: features of at most ``most_rows`` labelled ids outside the held-out part, drawn by hash.
 
-    Rows with a null id, label or text are left out; labels of one id that contradict each other are, too; of the texts
-    of a repeated id the smallest counts. A row has at most 2^(bits + 1) features of 6 bytes, however long its text is.
+    Bags are named 'label:hash:id'. Rows with a null id, label or text are left out; labels of one id that contradict each
+    other are, too; of the texts of a repeated id the smallest counts. A row has at most 2^(bits + 1) features of 6 bytes,
+    however long its text is.
     """
     ids = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     ids = ids.groupBy(F.col(id_col).alias("_pl_id")).agg(F.min(label_col).alias("_pl_low"), F.max(label_col).alias("_pl_high"))
@@ -121,8 +122,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, shape: Shape, *, label_c
     rows = docs.select(F.col(id_col).alias("_pl_id"), F.col(text_col).alias("_pl_text")).filter(F.col("_pl_text").isNotNull()).join(F.broadcast(drawn), "_pl_id")
     named = rows.groupBy("_pl_id").agg(F.min("_pl_text").alias("text"), F.first(F.col("_pl_low").cast("int")).alias("label"))
     label = F.concat_ws(":", F.col("label"), F.lpad(F.hex(F.xxhash64("_pl_id")), 16, "0"), F.col("_pl_id").cast("string"))
-    got = named.select(label.alias("label"), "text").mapInArrow(wh.bagged(lambda data, offs: _features(data, offs, shape)), wh.BAG_SQL).toArrow().sort_by("label")
-    return wh.Bags(got), np.array([int(x.split(":")[0]) for x in got["label"].to_pylist()], np.int64)
+    return named.select(label.alias("label"), "text").mapInArrow(wh.bagged(lambda data, offs: _features(data, offs, shape)), wh.BAG_SQL)
+
+
+def fit_quality(bags: DataFrame, shape: Shape = Shape()) -> tuple[np.ndarray, float]:
+    """``Model.folded`` of a model that one task trains on ``labelled_bags``; the bags are what bounds it."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(batches, wh.BAG_SCHEMA).sort_by("label")
+        table, offset = train(wh.Bags(got), np.array([int(x.split(":")[0]) for x in got["label"].to_pylist()], np.int64), shape).folded()
+        del got
+        wh.returned_memory()
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([offset])], ["weights", "offset"])
+
+    found = bags.repartition(1).mapInArrow(learn, "weights binary, offset double").collect()
+    if not found:  # no task runs over an empty table
+        return train(wh.Bags(wh.BAG_SCHEMA.empty_table()), np.zeros(0, np.int64), shape).folded()
+    return np.frombuffer(found[0]["weights"], np.float32), found[0]["offset"]
 
 
 def score_quality(
@@ -146,8 +162,7 @@ def score_quality(
     """
     if {score_out.lower(), predicted_out.lower()} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns {score_out!r} and {predicted_out!r} must be new")
-    table, offset = train(*labelled_sample(docs, labels, shape, label_col=label_col, most_rows=most_rows, id_col=id_col, text_col=text_col), shape).folded()
-    wh.returned_memory()
+    table, offset = fit_quality(labelled_bags(docs, labels, shape, label_col=label_col, most_rows=most_rows, id_col=id_col, text_col=text_col), shape)
     model = docs.sparkSession.sparkContext.broadcast(table)  # 2^18 floats at any input size
     schema = StructType([*docs.schema.fields, StructField(score_out, DoubleType())])
 

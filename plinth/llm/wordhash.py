@@ -163,7 +163,7 @@ def kept_spans(valid: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple
 
 
 BAG_SQL = "label string, buckets binary, counts binary"
-_BAG = pa.schema([("label", pa.string()), ("buckets", pa.binary()), ("counts", pa.binary())])
+BAG_SCHEMA = pa.schema([("label", pa.string()), ("buckets", pa.binary()), ("counts", pa.binary())])
 
 
 def bagged(parts):
@@ -182,7 +182,7 @@ def bagged(parts):
                     own, n = np.unique(np.concatenate([b[s[i] : max(s[i], e[i])] for b, s, e in found]), return_counts=True)
                     owns.append(own.astype("<i4").tobytes())
                     counts.append(np.minimum(n, 65535).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(owns, pa.binary()), pa.array(counts, pa.binary())], schema=_BAG)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(owns, pa.binary()), pa.array(counts, pa.binary())], schema=BAG_SCHEMA)
         returned_memory()
 
     return scan

@@ -64,19 +64,15 @@ def test_bags_hold_the_features():
 LANGS = {"en": "the house and the garden", "de": "das haus und der garten", "nl": "het huis en de tuin", "fr": "la maison et le jardin", "xx": "zzq qqz zqz"}
 
 
-@pytest.mark.parametrize("weight_bits", [24, 12])
-def test_language_margins_and_choice(monkeypatch, weight_bits):
-    """Few bits share buckets among machines of many languages; nothing is dropped for it."""
-    monkeypatch.setattr(language_id, "WEIGHT_BITS", weight_bits)
+def test_language_margins_and_choice():
     labels = [lang for lang in LANGS for _ in range(12)]
     model = language_id.Hierarchy(list(LANGS)).fit(bags_of([LANGS[x] for x in labels], language_id._parts, labels), labels)
     assert model.machines == [(None, "germanic", None), (None, "romance", None), (None, "xx", None), ("germanic", "de", "en"), ("germanic", "de", "nl"), ("germanic", "en", "nl")]
-    assert model.bits == min(16, weight_bits - 3)
     texts = [*LANGS.values(), "haus the", "Été 漢字", "la casa " * 500]
     margins, (chosen, scores) = model.margins(pa.array(texts)), model.predict(pa.array(texts))
     for text, own, lang, score in zip(texts, margins, chosen, scores):
         data = np.frombuffer(text.encode(), np.uint8)
-        buckets = [b & ((1 << model.bits) - 1) for found, begins, ends in language_id._parts(data, np.array([0, len(data)])) for b in found[begins[0] : ends[0]]]
+        buckets = [b for found, begins, ends in language_id._parts(data, np.array([0, len(data)])) for b in found[begins[0] : ends[0]]]
         assert own == pytest.approx(language_id.SCALE * np.mean([model.weights[b] for b in buckets], axis=0) + model.offsets, abs=1e-3)
         sure = 1 / (1 + np.exp(-2 * own))
         family, options = model.families[int(np.argmax(own[:3]))], model.members[model.families[int(np.argmax(own[:3]))]]
@@ -91,14 +87,41 @@ def test_language_margins_and_choice(monkeypatch, weight_bits):
 def test_samples_are_bounded_under_repeats(spark):
     rows = [(8, "das haus", "de")] * 500 + [(7, "das haus und mehr", "de")] * 500 + [(i, f"the house {i}", "en") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    seen = []
-    fit = language_id.Hierarchy.fit
-    language_id.Hierarchy.fit = lambda self, bags, labels: seen.extend(labels) or fit(self, bags, labels)
-    try:
-        assert language_id.fit_languages(df, rows_per_lang=40).langs == ["de", "en"]
-    finally:
-        language_id.Hierarchy.fit = fit
-    assert collections.Counter(seen) == {"de": 2, "en": 40}
+    bags = language_id.sampled_bags(language_id.learnable(df), {"de": 2, "en": 200}, 40).collect()
+    assert collections.Counter(r["lang"] for r in bags) == {"de": 2, "en": 40}
+    assert len({r["label"] for r in bags}) == 42
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
-    bags, marks = quality_classifier.labelled_sample(df, labels, quality_classifier.Shape(), label_col="quality", most_rows=50)
-    assert len(bags) == len(marks) == 50
+    assert quality_classifier.labelled_bags(df, labels, quality_classifier.Shape(), label_col="quality", most_rows=50).count() == 50
+
+
+def test_executors_train_the_machines_that_one_process_trains(spark):
+    rows = [(i, f"{LANGS[lang]} {i} {i % 7}", lang) for i, lang in enumerate(x for x in LANGS for _ in range(30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = language_id.fit_languages(df, rows_per_lang=15)
+    bags = language_id.sampled_bags(language_id.learnable(df), dict.fromkeys(LANGS, 20), 15).toArrow().sort_by("label")
+    plain = language_id.Hierarchy(list(LANGS)).fit(wh.Bags(bags), bags["lang"].to_pylist())
+    assert model.machines == plain.machines and len(model.machines) > language_id.MACHINES_A_TASK
+    assert np.array_equal(model.weights, plain.weights) and np.array_equal(model.offsets, plain.offsets)
+
+
+def test_stray_languages_are_an_error_or_left_out(spark):
+    rows = [(i, "the house and the garden", "en") for i in range(40)] + [(100 + i, "das haus", "de") for i in range(40)] + [(1000 + i, "q", f"junk{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="least_rows or most_machines"):
+        language_id.fit_languages(df, most_machines=20)
+    assert language_id.fit_languages(df, most_machines=20, least_rows=5).langs == ["de", "en"]
+    assert language_id.fit_languages(df.filter("lang = 'en'")).langs == ["en"]
+    assert language_id.fit_languages(df.limit(0)).langs == []
+
+
+def test_one_task_trains_the_quality_model(spark):
+    df = spark.createDataFrame([(i, ("good words here " if i % 2 else "bad bad ") + str(i)) for i in range(80)], "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    shape = quality_classifier.Shape(bits=10, width=4)
+    bags = quality_classifier.labelled_bags(df, labels, shape, label_col="quality", most_rows=60)
+    table, offset = quality_classifier.fit_quality(bags, shape)
+    got = bags.toArrow().sort_by("label")
+    plain, plain_offset = quality_classifier.train(wh.Bags(got), np.array([int(x.split(":")[0]) for x in got["label"].to_pylist()]), shape).folded()
+    assert np.array_equal(table, plain) and offset == plain_offset
+    none, even = quality_classifier.fit_quality(bags.limit(0), shape)
+    assert not none.any() and even == 0

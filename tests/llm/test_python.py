@@ -232,9 +232,9 @@ def test_language_cases(spark):
 
 def test_more_languages_than_can_be_learned_are_an_error(spark):
     df = spark.createDataFrame([(i, f"text {i}", f"l{i % 4}") for i in range(60)], "doc_id long, text string, lang string")
-    assert language_id.fit_languages(df, most_langs=4).langs == ["l0", "l1", "l2", "l3"]
+    assert language_id.fit_languages(df, most_machines=4).langs == ["l0", "l1", "l2", "l3"]
     with pytest.raises(ValueError):
-        language_id.fit_languages(df, most_langs=3)
+        language_id.fit_languages(df, most_machines=3)
 
 
 def joined_by_force(rows, size=5, percent=75):
