@@ -204,7 +204,9 @@ def fit_languages(
         return pa.table({"machine": pa.array([m for m, _, _ in done], pa.int32()), "weights": pa.array([w.tobytes() for _, w, _ in done], pa.binary()), "offset": pa.array([float(o) for _, _, o in done])})
 
     bags = sampled_bags(known, counts, max(1, min(rows_per_lang, most_rows // len(counts))))
-    for row in bags.join(F.broadcast(needed), "lang").groupBy("task").applyInArrow(train, TRAINED_SQL).collect():
+    # So many partitions by name, as small ones would be put together and trained one after the other.
+    dealt = bags.join(F.broadcast(needed), "lang").repartition(2 * len(tasks), "task")
+    for row in dealt.groupBy("task").applyInArrow(train, TRAINED_SQL).collect():
         model.put(row["machine"], np.frombuffer(row["weights"], np.float32), row["offset"])
     return model
 
