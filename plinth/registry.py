@@ -17,7 +17,7 @@ from plinth.operators.closure import Hierarchy, closure, closure_by_doubling, re
 from plinth.plans import graph_view as gv
 from plinth.plans.vocabulary import CATEGORY_EDGES, ROLE_EDGES, TYPE, Vocabulary
 from plinth.sources import graph as graphs
-from plinth.sources import turtle
+from plinth.sources import star_store, turtle
 from plinth.sources.reports import counts, read_reports, relevant_preview, write_records
 from plinth.streaming import reports as streaming
 
@@ -155,6 +155,15 @@ def strict_class_matches(spark, sf_dir):
     return motifs.solutions(g, motifs.VECTOR_IR, True).unionByName(motifs.solutions(g, motifs.LLM_IR, True)).select("motif", "step", "query", "source", "result")
 
 
+@query(f"{MATCHED_SQL} SELECT * FROM vector UNION ALL SELECT * FROM llm")
+def star_store_solutions(spark, sf_dir):
+    """Solutions of both motifs from the store that is bucketed by subject, where star joins move nothing."""
+    g = _graph(spark, sf_dir)
+    store = spark.table(star_store.write_stars(g))
+    found = [star_store.star_solutions(store, g, m) for m in motifs.MOTIFS]
+    return found[0].unionByName(found[1]).select("motif", "step", "query", "source", "result")
+
+
 def _bindings_sql(m: motifs.Motif, rows: str) -> str:
     return " UNION ".join(
         f"SELECT {_match(m)} AS match_iri, '{m.name}' AS motif, {_match(m)} || '/binding/{motifs.BINDING_PATHS[n.column]}' AS binding_iri, '{V.pat(n.pattern)}' AS pattern_node, '{n.column}' AS node, {n.column} AS element FROM {rows}"
