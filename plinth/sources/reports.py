@@ -37,10 +37,15 @@ def numbered(rows: DataFrame) -> DataFrame:
     return joined.select(*rows.columns, (F.col("_pl_start") + inside).cast("long").alias("row_id"))
 
 
-def read_text(spark: SparkSession, path: str) -> str:
-    """A whole small text file, such as a taxonomy for prompts; a missing path is an error."""
-    rows = spark.read.text(path, wholetext=True).limit(1).collect()
-    return rows[0]["value"] if rows else ""
+def read_text(spark: SparkSession, path: str, most_bytes: int = 1 << 24) -> str:
+    """A small text, such as a taxonomy for prompts: a file, or a folder's files in the order of their paths, one below another.
+
+    A missing path and more than ``most_bytes`` are errors; empty files add nothing.
+    """
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+    if (files.agg(F.sum("size")).first()[0] or 0) > most_bytes:
+        raise ValueError(f"more than {most_bytes} bytes in {path}")
+    return "\n".join(row["value"] for row in files.orderBy("path").collect() if row["value"])
 
 
 def write_records(records: DataFrame, path: str) -> None:

@@ -114,3 +114,14 @@ def test_shared_results_need_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_dir(Session())
+
+
+def test_whole_texts_of_files_and_folders(spark, tmp_path):
+    for name, text in (("b.txt", "second\nline"), ("a.txt", "first"), ("c.txt", "")):
+        (tmp_path / name).write_text(text)
+    assert io.read_text(spark, str(tmp_path / "b.txt")) == "second\nline" and io.read_text(spark, str(tmp_path / "c.txt")) == ""
+    assert io.read_text(spark, str(tmp_path)) == "first\nsecond\nline"
+    with pytest.raises(ValueError, match="more than 10 bytes"):
+        io.read_text(spark, str(tmp_path), most_bytes=10)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        io.read_text(spark, str(tmp_path / "none"))
