@@ -367,6 +367,18 @@ def test_components_never_end_unfinished(spark):
     assert {tuple(r) for r in components.components(links).collect()} == {(i, 0) for i in range(41)}
 
 
+def test_few_edges_are_joined_in_few_jobs_and_as_rounds_join_them(spark):
+    pick = random.Random(5)
+    links = [(pick.randrange(300), pick.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(60)] + [(2000 - i * i, 2000) for i in range(1, 9)]
+    df = spark.createDataFrame(links, "a long, b long")
+    context = spark.sparkContext
+    context.setJobGroup("few-edges", "components")
+    mine = sorted(map(tuple, components.components(df).collect()))
+    jobs = len(context.statusTracker().getJobIdsForGroup("few-edges"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert mine == sorted(map(tuple, components.components(df, at_once=0).collect())) and jobs <= 8
+
+
 def test_encoder_equals_the_tokenizer_file(spark, sf):
     from tokenizers import Tokenizer
 
