@@ -49,16 +49,6 @@ CANDIDATE_COST, MOST_LONGER = 4.0, 8
 SPREAD_CLASS = 14
 
 
-def tidied(scan):
-    """``scan`` for ``mapInArrow``, giving back what it held once a partition is done: workers live on, and keep it else."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from scan(batches)
-        wh.returned_memory()
-
-    return run
-
-
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text with fewer words has the whole sequence as its one shingle."""
     for _, data, offs in wh.chunks(texts):
@@ -159,7 +149,7 @@ def _stats(size: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int32)), batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), none(_STATS.field("tokens").type), none(_STATS.field("counts").type)], schema=_STATS)
         yield from flush()
 
-    return tidied(scan)
+    return wh.tidied(scan)
 
 
 def frequency_table(stats: DataFrame) -> np.ndarray:
@@ -217,7 +207,7 @@ def _index(size: int, percent: int, blocks: int, classes):
                     seen, sets, tokens, owners, n_held = set(), [], [], [], 0
         yield from flush()
 
-    return tidied(scan)
+    return wh.tidied(scan)
 
 
 def _low(tokens: np.ndarray) -> bytes:
@@ -332,11 +322,11 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, p
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = docs.select("text", _slots(F.col("doc_id"), bits).alias("slot")).mapInArrow(tidied(load), "key long, tokens binary")
+    sets = docs.select("text", _slots(F.col("doc_id"), bits).alias("slot")).mapInArrow(wh.tidied(load), "key long, tokens binary")
     sets = sets.join(ends, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"))
     first = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a")
     both = first.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(tidied(compare), "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(wh.tidied(compare), "a long, b long")
 
 
 def _open_entries(entries: DataFrame, joined: DataFrame, info: DataFrame) -> DataFrame:

@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.common import settle
+from plinth.llm.wordhash import tidied
 
 #: Fixed value: how byte-level BPE of this kind splits text before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Pieces that a partition holds before it hands them on: at most a window of ids each, so 4 MB.
+FLUSHED = 512
 #: White space in a row that tiktoken's pattern, which looks back over all of it, still takes within its stack, ten times over.
 LONG_SPACE = re.compile(r"(?<!\s)\s{100000}")
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open_in", pa.int64())])
@@ -37,6 +40,14 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    """The tokenizer file as it is; most workers never need it beside tiktoken, and it is as large again."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """Function from text to ids, equal to those of the tokenizer file with add_special_tokens=False.
@@ -44,11 +55,9 @@ def encoder(path: str):
     The vocabulary of a plain byte-level BPE file is run by tiktoken, which is several times faster; texts with an
     added token's string or a very long run of white space, and files of any other make, go through tokenizers itself.
     """
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(path)
-    slow = lambda text: whole.encode(text, add_special_tokens=False).ids
-    spec = json.load(open(path, encoding="utf-8"))
+    slow = lambda text: _tokenizer(path).encode(text, add_special_tokens=False).ids
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
     before, model = spec.get("pre_tokenizer") or {}, spec["model"]
     plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
     if model.get("type") != "BPE" or not plain or model.get("dropout") or model.get("ignore_merges"):
@@ -125,12 +134,11 @@ def _batch(rows: list[tuple], open_in: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, PIECE, strict=True)], schema=PIECE)
 
 
-def _flush(packer: Packer, least_rows: int) -> Iterator[pa.RecordBatch]:
-    if len(packer.done) >= least_rows:
-        for i in range(0, len(packer.done), 4096):
-            part = packer.done[i : i + 4096]
-            yield _batch(part, [None] * len(part))
-        packer.done = []
+def _flush(packer: Packer, open_in: int | None = None) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(packer.done), FLUSHED):
+        part = packer.done[i : i + FLUSHED]
+        yield _batch(part, [open_in] * len(part))
+    packer.done = []
 
 
 def _merge(rows: list[tuple], window: int, least_cut: int, sequence: int) -> list[tuple]:
@@ -206,14 +214,12 @@ def pack_documents(
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.array([*encode(text.as_py() or ""), end_id], np.uint32)
                 packer.add(doc, 0, ids, len(ids))
-                if len(packer.done) >= 8192:
-                    yield from _flush(packer, 1)
-        yield from _flush(packer, 1)
+                if len(packer.done) >= FLUSHED:
+                    yield from _flush(packer)
+        yield from _flush(packer)
         for sequence in sorted(packer.held):
             packer._emit(sequence)
-        for i in range(0, len(packer.done), 4096):
-            part = packer.done[i : i + 4096]
-            yield _batch(part, [task // merged_partitions] * len(part))
+        yield from _flush(packer, task // merged_partitions)
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         columns = (table[c].to_pylist() for c in ("sequence_id", "offset", "doc_id", "start", "ids", "doc_tokens"))
@@ -221,7 +227,7 @@ def pack_documents(
         done = _merge(rows, window, least_cut, 1 << 62 | key[0].as_py() << 36)
         return pa.Table.from_batches([_batch(done, [None] * len(done))])
 
-    packed = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, PIECE_SQL)
+    packed = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(pack), PIECE_SQL)
     packed = settle(packed, "packed")
     merged = packed.filter("open_in is not null").groupBy("open_in").applyInArrow(merge, PIECE_SQL)
     return packed.filter("open_in is null").unionByName(merged).drop("open_in")

@@ -212,3 +212,13 @@ def returned_memory() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(scan):
+    """``scan`` for ``mapInArrow``, giving back what it held once a partition is done: workers live on, and keep it else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from scan(batches)
+        returned_memory()
+
+    return run

@@ -152,6 +152,18 @@ def test_packing_round_trip(spark, sf, window, partitions):
     check_packing(pieces, expected, window, 4)
 
 
+def test_packing_holds_one_vocabulary_and_few_pieces():
+    packing.encoder.cache_clear()
+    packing._tokenizer.cache_clear()
+    encode = packing.encoder(tokenizer_path())
+    assert encode("some words") and packing._tokenizer.cache_info().currsize == 0
+    assert encode("<|endoftext|>") and packing._tokenizer.cache_info().currsize == 1
+    packer = packing.Packer(2048, 16, 16, 0)
+    packer.add(1, 0, np.ones(2048 * 5000, np.uint32), 2048 * 5000)
+    batches = list(packing._flush(packer))
+    assert sum(b.num_rows for b in batches) == 5000 and max(b.nbytes for b in batches) < 5 << 20 and not packer.done
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
 
