@@ -7,13 +7,13 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions.storage import shared_dir, written
 from plinth.functions.text import cache_key, encode_for_uri
 from plinth.operators import implementations, incidents, library, lifecycle, motifs, patterns, risk, taxonomy
-from plinth.operators.closure import Hierarchy, closure, closure_by_doubling, reach
+from plinth.operators.closure import Hierarchy, closure, closure_of_chains, reach
 from plinth.plans import graph_view as gv
 from plinth.plans.vocabulary import CATEGORY_EDGES, ROLE_EDGES, TYPE, Vocabulary
 from plinth.sources import graph as graphs
@@ -115,17 +115,12 @@ def geo_closure(spark, sf_dir):
     return closure(_places(spark, sf_dir)).withColumn("hops", F.col("hops").cast("long"))
 
 
-def _event_edges(spark, sf_dir):
-    after = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    events = gv.table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    return events.select(F.col("event_id").alias("sub"), F.lead("event_id").over(after).alias("super"))
-
-
 @query("""WITH RECURSIVE edge AS (SELECT * FROM (SELECT event_id sub, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) super FROM events) WHERE super IS NOT NULL),
 walk(sub, super, hops) AS (SELECT sub, super, 1 FROM edge UNION SELECT w.sub, e.super, w.hops + 1 FROM walk w JOIN edge e ON e.sub = w.super)
 SELECT sub, super, CAST(hops AS BIGINT) AS hops FROM walk""")
 def inform_reachability(spark, sf_dir):
-    return closure_by_doubling(_event_edges(spark, sf_dir)).withColumn("hops", F.col("hops").cast("long"))
+    """Events and the later ones of their user, over the edges from each event to the user's next."""
+    return closure_of_chains(gv.table(spark, sf_dir, "events"), "user_id", "event_id", "ts", "event_id").withColumn("hops", F.col("hops").cast("long"))
 
 
 @query(f"""{BASE_SQL}, inform AS (SELECT DISTINCT p.s AS a, u.s AS b FROM produce_edge p JOIN use_edge u ON u.o = p.o),

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from plinth.operators import motifs, risk
-from plinth.operators.closure import Hierarchy, closure, closure_by_doubling, closure_sql
+from plinth.operators.closure import Hierarchy, closure, closure_by_doubling, closure_of_chains, closure_sql
 from plinth.sources import turtle
 from plinth.sources.graph import graph_of, merged, read_triples, with_superproperties, write_triples
 from tests.graphs import LLM, PREFIXES, TWO_HOPS
@@ -149,3 +149,15 @@ def test_superproperties(spark):
     df = spark.createDataFrame([("a", "p", "b")], "s string, p string, o string")
     out = with_superproperties(df, Hierarchy([("p", "q"), ("q", "r")]))
     assert sorted(r["p"] for r in out.collect()) == ["p", "q", "r"]
+
+
+@pytest.mark.parametrize("block", [1, 3, 1024])
+def test_chains_close_as_their_edges_do(spark, block):
+    rows = [(c, 100 * c + i, i) for c, n in ((1, 1), (2, 4), (3, 11)) for i in range(n)]
+    rows += [(4, 900, 0), (4, 901, 1), (4, 902, 2), (5, 902, 0), (5, 900, 1), (6, 950, 0), (6, 950, 1), (6, 951, 2), (7, 960, 0), (7, None, 1), (7, 961, 2), (7, 962, 3), (None, 970, 0), (None, 971, 1)]
+    df = spark.createDataFrame(rows, "c long, node long, at long")
+    edges = [(a[1], b[1]) for c in {r[0] for r in rows} for a, b in zip(*[[r for r in rows if r[0] == c][k:] for k in (0, 1)], strict=False)]
+    shown = lambda d: sorted(map(tuple, d.select("sub", "super", "hops").collect()))
+    found = closure_of_chains(df, "c", "node", "at", block=block)
+    assert shown(found) == shown(closure_by_doubling(spark.createDataFrame(edges, "sub long, super long")))
+    assert shown(closure_of_chains(df.limit(0), "c", "node", "at", block=block)) == []

@@ -58,3 +58,19 @@ def test_inform_reachability_reaches_the_end_of_a_chain(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, ts long").write.parquet(f"{tmp_path}/events.parquet")
     found = [tuple(r) for r in registry.QUERIES["inform_reachability"](spark, str(tmp_path)).select("sub", "super", "hops").collect()]
     assert sorted(found) == sorted((100 * user + i, 100 * user + j, j - i) for user, n in lengths.items() for j in range(n) for i in range(j))
+
+
+def shuffled_rows(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_inform_reachability_moves_events_and_not_pairs(spark, tmp_path):
+    rows = [(100 * user + i, user, i) for user in range(40) for i in range(80)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long").write.parquet(f"{tmp_path}/events.parquet")
+    before = shuffled_rows(spark)
+    found = registry.QUERIES["inform_reachability"](spark, str(tmp_path))
+    found.write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 40 * 80 * 79 // 2
+    assert shuffled_rows(spark) - before < 6 * len(rows)
