@@ -166,3 +166,27 @@ def test_command_line(spark, tmp_path, capsys):
     for command, n in (("match", 19), ("assess", 16)):
         assert cli.main([command, "--graph", str(tmp_path / "g.ttl"), "--out", str(tmp_path / command)]) == 0
         assert spark.read.text(str(tmp_path / command)).count() == n
+
+
+def test_workers_hold_few_rows_and_only_those_that_are_asked(spark):
+    reports = report_rows(spark, 3000).coalesce(1)
+    gated = reports.withColumn("is_relevant", F.col("row_id") % 3 == 0).withColumn("relevance_level", F.lit("direct")).withColumn("relevance_reason", F.lit("why")).withColumn("matched_modes", F.array(F.lit("m")))
+    gated = gated.withColumn("detected_system_behavior", F.lit("b")).withColumn("error", F.when(F.col("row_id") % 3 == 1, F.lit("down")))
+    seen = spark.sparkContext.accumulator(0)
+
+    def make():
+        import gc
+
+        def call(prompt, stage, report_id):
+            if report_id == "r2997":  # the last row that is asked about
+                seen.add(sum(1 for x in gc.get_objects() if isinstance(x, dict) and "meta" in x and "relevance_level" in x))
+            return "{}"
+
+        return call
+
+    for filled in (False, True):
+        rows = incidents.extract(gated, make, filled=filled).orderBy("row_id").collect()
+        assert [r["meta"]["relevance_reason"] for r in rows[:3]] == ["why", "pipeline_error: down", "why"] and len(rows) == 3000
+        assert [r["meta"]["is_relevant"] for r in rows[:3]] == [True, False, False] and rows[2]["matched_modes"] == ["m"]
+        assert all((r["evidence"] == (([], [], []) if filled else None)) for r in rows[1:3]) and (not filled or rows[1]["risk_assessment"]["confidence"] == "low")
+    assert seen.value <= 2 * 2 * incidents.WORKED
